@@ -1,5 +1,7 @@
 """DuckDB SQL with the same rows as the registered queries, where SQL can express them."""
 
+from . import licenses
+
 OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -19,3 +21,25 @@ o AS (SELECT source, (bad + m * wt) / (k + wt) <= 0.5 AS ok FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, TRUE) AS kept
 FROM u LEFT JOIN o USING (source)
 """
+
+
+def op2() -> str:
+    """The license scan over the same templates, diagonal by diagonal."""
+    rows = [f"({k}, '{label}', {phrase}, '{a}', '{b}', {at}, {len(w) - 1})" for k, label, phrase, w in licenses.templates() for at, (a, b) in enumerate(zip(w, w[1:]))]
+    return rf"""
+WITH tpl(template, label, phrase, a, b, pl, grams) AS (VALUES {", ".join(rows)}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT rid, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d)),
+v AS (SELECT rid, template, label, phrase, grams, pos - pl AS diagonal, pl FROM g JOIN tpl USING (a, b)),
+x AS (SELECT rid, template, label, phrase, grams, diagonal, count(*) AS n, min(pl) AS lo, max(pl) AS hi FROM v GROUP BY ALL),
+base AS (SELECT rid, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word FROM x WHERE phrase AND n = grams GROUP BY rid),
+i0 AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {licenses.DRIFT} THEN 0 ELSE 1 END AS fresh FROM x WHERE NOT phrase),
+i1 AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS island FROM i0),
+i2 AS (SELECT i1.rid, i1.template, i1.label, i1.grams, island, count(DISTINCT v.pl) AS n, min(v.diagonal + v.pl) AS lo, max(v.diagonal + v.pl + 2) AS hi
+       FROM i1 JOIN v ON v.rid = i1.rid AND v.template = i1.template AND v.diagonal = i1.diagonal GROUP BY ALL),
+s AS (SELECT rid, label, n / grams AS cover FROM i2 WHERE n >= {licenses.COVER} * grams AND hi - lo <= {licenses.STRETCH} * (grams + 1)),
+l AS (SELECT rid, label, TRUE AS is_base, 1.0::DOUBLE AS cover FROM x WHERE phrase AND n = grams UNION ALL SELECT rid, label, FALSE, cover FROM s),
+b AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM l GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN b USING (rid)
+"""
