@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, sentencepieces, sharding, simhash, sql
+from . import licenses, packing, quality, sentencepieces, sharding, simhash, sql, topk
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -28,6 +28,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
@@ -42,9 +46,9 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_simhash, op2_licenses, op4_packing, op6_sharding, op8_quality, op10_sentencepieces]
+    made = [op1_simhash, op2_licenses, op4_packing, op5_topk, op6_sharding, op8_quality, op10_sentencepieces]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": sql.op2(), "op8_quality": sql.OP8}
+    return {"op2_licenses": sql.op2(), "op5_topk": sql.OP5, "op8_quality": sql.OP8}
