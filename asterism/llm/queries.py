@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, sentencepieces, sharding, simhash, sql, topk
+from . import licenses, packing, quality, sentencepieces, sharding, simhash, sql, topk, warc
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -36,6 +36,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_read(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -46,9 +50,9 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_simhash, op2_licenses, op4_packing, op5_topk, op6_sharding, op8_quality, op10_sentencepieces]
+    made = [op1_simhash, op2_licenses, op4_packing, op5_topk, op6_sharding, op7_warc, op8_quality, op10_sentencepieces]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": sql.op2(), "op5_topk": sql.OP5, "op8_quality": sql.OP8}
+    return {"op2_licenses": sql.op2(), "op5_topk": sql.OP5, "op7_warc": sql.OP7, "op8_quality": sql.OP8}

@@ -52,3 +52,12 @@ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS cr, CAST(list_inner_pro
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, cr) AS k FROM s) WHERE k <= 20
 """
+
+
+OP7 = """
+WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+x AS (SELECT page_id, CAST(octet_length(raw) AS BIGINT) AS payload_bytes, sha1(raw) AS payload_digest FROM d),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS holder FROM x),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN holder END AS refers_to FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""
