@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, sentencepieces, sharding, simhash, sql, topk, warc
+from . import licenses, packing, pii, quality, sentencepieces, sharding, simhash, sql, suffix_dedup, topk, warc
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -24,6 +24,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -45,12 +49,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_read(spark, sf_dir, "documents")).drop("masked")
+
+
 def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_documents(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_simhash, op2_licenses, op4_packing, op5_topk, op6_sharding, op7_warc, op8_quality, op10_sentencepieces]
+    made = [op1_simhash, op2_licenses, op3_suffix_dedup, op4_packing, op5_topk, op6_sharding, op7_warc, op8_quality, op9_pii, op10_sentencepieces]
     return {f.__name__: f for f in made}
 
 
