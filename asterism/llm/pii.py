@@ -271,3 +271,17 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     counts = "".join(f", n_{k} bigint" for k in KINDS)
     return slim.mapInArrow(run, f"id bigint{counts}, base_sha256 string, spans string, masked string").withColumnRenamed("id", id_col)
+
+
+def mask_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with every span of its texts, base and model's, replaced by its kind; other columns and null texts stay."""
+    schema = df.schema
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = model()
+        for batch in batches:
+            texts = [x if x is None else mask(x, find(x, crf)[1]) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return df.mapInArrow(run, schema)

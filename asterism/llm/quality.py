@@ -101,3 +101,9 @@ def judge(df: DataFrame, host_col: str = "source", text_col: str = "text", keep:
     verdicts = host_verdicts(rated, "__host", "rule_failed", limit).select("__host", F.col("host_kept").alias("__ok"))
     joined = rated.join(verdicts, "__host", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("__ok"), F.lit(True))).drop("__host", "__ok")
+
+
+def keep_good(df: DataFrame, host_col: str = "source", text_col: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of ``df`` that ``judge`` keeps, with just their own columns, whatever these are called."""
+    held = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), df[host_col].alias("__source"), df[text_col].alias("__body"))
+    return judge(held, "__source", "__body", ["__row"], limit).where("kept").select("__row.*")

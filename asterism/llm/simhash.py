@@ -46,16 +46,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Rows (id, fp): fp is the fingerprint as a signed bigint. Null and empty texts get 0."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, row_col: str | None = None) -> DataFrame:
+    """Rows (id, fp, row): fp is the fingerprint as a signed bigint, row that column or null. Null and empty texts get 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["id", "fp"])
+            made = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64)), batch.column(1)], names=["id", "fp", "row"])
 
-    slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id bigint, fp bigint")
+    row = F.lit(None) if row_col is None else F.col(row_col)
+    slim = df.select(F.col(id_col).cast("bigint").alias("id"), row.cast("bigint").alias("row"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, "id bigint, fp bigint, row bigint")
 
 
 def _tables(free: list[tuple[int, int]]) -> list[tuple[int, list[tuple[int, int]], tuple[int, ...]]]:
@@ -125,6 +126,14 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return out
 
 
+def _roots(prints: DataFrame, crowd: int) -> DataFrame:
+    """Rows (fp, first, label): each different fingerprint, its smallest id and its component, from the shared folder."""
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    labels = components(links(distinct, crowd), "simhash")
+    rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    return materialize(rooted.select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-roots")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """Rows (id, fingerprint, component_id), one per input row.
 
@@ -133,18 +142,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     meet as one fingerprint before any join. An empty input gives an empty result.
     """
     prints = materialize(fingerprints(df, id_col, text_col), "simhash-fp")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    labels = components(links(distinct, crowd), "simhash")
-    rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    rooted = materialize(rooted, "simhash-roots")
-    smallest = rooted.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "label").select("fp", "component_id")
+    roots = _roots(prints, crowd)
+    smallest = roots.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = roots.join(smallest, "label").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their near-duplicate component, one row for repeated ids; null ids stay only in components without ids."""
-    groups = near_duplicates(df, id_col, text_col)
-    roots = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__root")).distinct()
-    kept = df.join(roots, df[id_col].eqNullSafe(roots["__root"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """One row of ``df`` for each near-duplicate component: that with the smallest id, nulls last; of repeated rows any one.
+
+    The rows are numbered and written to the shared folder once, so that null and repeated ids can be told apart.
+    """
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    prints = materialize(fingerprints(rows, id_col, text_col, row_col="__row"), "simhash-fp")
+    labelled = prints.join(_roots(prints, crowd).select("fp", "label"), "fp")
+    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x")).select(F.col("x.row").alias("__row"))
+    return rows.join(first, "__row", "left_semi").drop("__row")

@@ -160,7 +160,7 @@ def _count_anchors(length: int, buckets: int):
         low, high = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, ids)
         np.maximum.at(high, inverse, ids)
-        number = table["chunk"][0].as_py()
+        number = table["__chunk"][0].as_py()
         rows = [(b, number, _blob((known[g] & _U(0xFFFFFFFF)).astype("<u4")), _blob((known[g] >> _U(32)).astype("u1")), _blob(seen[g]), _blob(np.packbits(low[g] != high[g]))) for b, g in groups]
         return _table(rows, ["bucket", "chunk", "low", "high", "seen", "many"], "iibbbb")
 
@@ -217,7 +217,7 @@ def _send(length: int, buckets: int, shards: int):
         names, kinds = ["shard", "chunk", "kind", "counts", "ids", "text"], "iiibbb"
         if not left.num_rows or not right.num_rows:
             return _table([], names, kinds)
-        chunk, number = Chunk(left, length), left["chunk"][0].as_py()
+        chunk, number = Chunk(left, length), left["__chunk"][0].as_py()
         known, inverse, groups = chunk.by_bucket(buckets)
         answers = dict(zip(right["bucket"].to_pylist(), zip(right["shared"].to_pylist(), right["crowded"].to_pylist())))
         status = _status(known, groups, answers)
@@ -306,7 +306,7 @@ def _cut(length: int, shards: int, buckets: int, schema: pa.Schema, keep: list[s
         n_removed, n_spans = removed[b] - removed[a], spans[b] - spans[a]
         kept = [chunk.bytes[x:y] if not n else chunk.raw[x:y][~gone[x:y]].tobytes() for x, y, n in zip(a.tolist(), b.tolist(), n_removed.tolist())]
         columns = {c: left[c].take(chunk.order) for c in keep}
-        columns |= {"n_bytes": pa.array(chunk.sizes), "n_removed": pa.array(n_removed), "n_spans": pa.array(n_spans), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept])}
+        columns = {"n_bytes": pa.array(chunk.sizes), "n_removed": pa.array(n_removed), "n_spans": pa.array(n_spans), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept])} | columns
         if text_col is not None:
             old = left[text_col].take(chunk.order)
             columns[text_col] = pa.array([o.as_py() if not n else k.decode("utf-8", "ignore") for o, n, k in zip(old, n_removed.tolist(), kept)], pa.string())
@@ -320,7 +320,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text has no bytes and stays null. Rows with a null id are neither sources nor cut. Rows that share an id don't
     count as repeats of each other. Characters whose bytes are cut in part are dropped from the returned text, not from
-    the digest. An empty input gives an empty result. Clashing column names are no matter for columns that aren't kept.
+    the digest. An empty input gives an empty result. A kept column
+    that has the name of a count stays and hides the count.
     """
     spark, n = df.sparkSession, partitions(df.sparkSession)
     keep = [id_col] if keep is None else keep
@@ -329,15 +330,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chunks, buckets, shards = (max(n, -(-total // size)) for size in (CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES))
     own = list(dict.fromkeys([*keep, *([text_col] if with_text else [])]))
     keyed = df.select(*own, F.col(id_col).cast("bigint").alias("__id"), F.xxhash64(text_col).alias("__th"), raw.alias("__raw"))
-    dealt = keyed.withColumn("chunk", F.pmod(F.xxhash64("__id", "__th", F.monotonically_increasing_id()), F.lit(chunks)).cast("int")).repartition(n, "chunk")
-    counted = dealt.select("chunk", "__id", "__th", "__raw", *own).groupBy("chunk").applyInArrow(_count_anchors(length, buckets), _ANCHOR_SCHEMA)
+    dealt = keyed.withColumn("__chunk", F.pmod(F.xxhash64("__id", "__th", F.monotonically_increasing_id()), F.lit(chunks)).cast("int")).repartition(n, "__chunk")
+    counted = dealt.groupBy("__chunk").applyInArrow(_count_anchors(length, buckets), _ANCHOR_SCHEMA)
     judged = counted.groupBy("bucket").applyInArrow(_judge_anchors(crowd), "chunk int, bucket int, shared binary, crowded binary")
-    sent = dealt.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(_send(length, buckets, shards), _SHARD_SCHEMA)
+    sent = dealt.groupBy("__chunk").cogroup(judged.groupBy("chunk")).applyInArrow(_send(length, buckets, shards), _SHARD_SCHEMA)
     solved = sent.groupBy("shard").applyInArrow(_solve(length), _ANSWER_SCHEMA)
     made = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
     out = T.StructType([df.schema[c] for c in own] + [T.StructField(c, t) for c, t in made if c not in own])
     arrow = _arrow_schema(spark, out)
-    return dealt.groupBy("chunk").cogroup(solved.groupBy("chunk")).applyInArrow(_cut(length, shards, buckets, arrow, keep, text_col if with_text else None), out)
+    return dealt.groupBy("__chunk").cogroup(solved.groupBy("chunk")).applyInArrow(_cut(length, shards, buckets, arrow, keep, text_col if with_text else None), out)
 
 
 def _arrow_schema(spark, schema: T.StructType) -> pa.Schema:
