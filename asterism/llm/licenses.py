@@ -44,8 +44,9 @@ NOTICES = {
 
 #: Diagonals at most this many words apart merge.
 DRIFT = 2
-#: A merged span must cover this share of the template's 2-grams and be at most this many times as long.
-COVER, STRETCH = 0.8, 1.5
+#: A merged span must cover this share of the template's 2-grams and be at most this many times as long; a short template, of
+#: fewer 2-grams than ``SHORT``, must be there whole, since one word more may make it another license.
+COVER, STRETCH, SHORT = 0.8, 1.5, 10
 
 
 def words_of(template: str) -> list[str]:
@@ -91,7 +92,7 @@ def spans(voted: DataFrame, keys: list[str]) -> DataFrame:
     grouped = marked.withColumn("island", F.sum("new").over(of))
     low, high = (F.col("diagonal") + F.array_min("places")), (F.col("diagonal") + F.array_max("places") + 2)
     merged = grouped.groupBy(*keys, "template", "label", "grams", "island").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min(low).alias("first_word"), F.max(high).alias("end_word"))
-    good = (F.col("n") >= COVER * F.col("grams")) & (F.col("end_word") - F.col("first_word") <= STRETCH * (F.col("grams") + 1))
+    good = (F.col("n") >= F.when(F.col("grams") < SHORT, 1.0).otherwise(COVER) * F.col("grams")) & (F.col("end_word") - F.col("first_word") <= F.when(F.col("grams") < SHORT, 1.0).otherwise(STRETCH) * (F.col("grams") + 1))
     return merged.where(good).select(*keys, "template", "label", "first_word", "end_word", (F.col("n") / F.col("grams")).alias("cover"))
 
 

@@ -181,22 +181,19 @@ def windows(text: str) -> list[tuple[int, int]]:
     """Stretches that hold every segment the model considers, and two tokens more on each side; far seeds get windows of their own."""
     reach, out = LONGEST + 2, []
     for m in _SEED.finditer(text):
-        if out and m.end() <= out[-1][1]:
-            continue
         a, b = m.span()
-        for _ in range(reach):  # back over tokens that are short enough to belong to a segment
+        for _ in range(reach):
             if a == 0:
                 break
             a = _step_back(text, a)
         if out and a <= out[-1][1]:
             a = out.pop()[0]
-        at = b
         for _ in range(reach):
-            if (t := _TOKEN.search(text, at)) is None:
-                at = len(text)
+            if (t := _TOKEN.search(text, b)) is None:
+                b = len(text)
                 break
-            at = t.end()
-        out.append((a, at))
+            b = t.end()
+        out.append((a, b))
     return out
 
 

@@ -225,9 +225,8 @@ class Codec(dict):
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: the space that encoding puts first goes, bytes that make no character become U+FFFD each."""
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        try:
-            text = raw.decode()
+        try:  # a special id parts bytes that would make a character together
+            text = b"".join(map(self.raw.__getitem__, ids)).decode() if self.t.special.isdisjoint(ids[:-1]) else self._lenient(ids)
         except UnicodeDecodeError:
             text = self._lenient(ids)
         first = next((i for i in ids if i not in self.t.special or i == self.t.unknown), None)
@@ -247,7 +246,7 @@ class Codec(dict):
         for i in ids:
             if (b := self.of_byte.get(i)) is not None:
                 held.append(b)
-            elif i not in self.t.special or i == self.t.unknown:
+            else:
                 flush()
                 out.append(self.raw[i].decode())
         flush()

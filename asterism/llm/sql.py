@@ -37,7 +37,7 @@ i0 AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, temp
 i1 AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS island FROM i0),
 i2 AS (SELECT i1.rid, i1.template, i1.label, i1.grams, island, count(DISTINCT v.pl) AS n, min(v.diagonal + v.pl) AS lo, max(v.diagonal + v.pl + 2) AS hi
        FROM i1 JOIN v ON v.rid = i1.rid AND v.template = i1.template AND v.diagonal = i1.diagonal GROUP BY ALL),
-s AS (SELECT rid, label, n / grams AS cover FROM i2 WHERE n >= {licenses.COVER} * grams AND hi - lo <= {licenses.STRETCH} * (grams + 1)),
+s AS (SELECT rid, label, n / grams AS cover FROM i2 WHERE n >= CASE WHEN grams < {licenses.SHORT} THEN 1.0 ELSE {licenses.COVER} END * grams AND hi - lo <= CASE WHEN grams < {licenses.SHORT} THEN 1.0 ELSE {licenses.STRETCH} END * (grams + 1)),
 l AS (SELECT rid, label, TRUE AS is_base, 1.0::DOUBLE AS cover FROM x WHERE phrase AND n = grams UNION ALL SELECT rid, label, FALSE, cover FROM s),
 b AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM l GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score

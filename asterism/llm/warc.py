@@ -140,7 +140,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         def close() -> pa.RecordBatch:
             name = f"{folder.rstrip('/')}/{run_id}-{number:05d}.warc.zst"
             data = archive(held)
-            with fs.open_output_stream(name) as out:
+            with fs.open_output_stream(name, compression=None) as out:
                 out.write(data)
             return pa.RecordBatch.from_pydict({"file": [name], "records": [len(held)], "bytes": [len(data)]})
 
@@ -168,7 +168,7 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
         fs, _ = _store(path)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                with fs.open_input_stream(name) as f:
+                with fs.open_input_stream(name, compression=None) as f:
                     data = f.read()
                 rows, size = [], 0
                 for raw in frames(data):
