@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words whose affect (evaluation, potency, activity) is known. Fixed values of this engine's demonstration lexicon.
-AFFECT = {"the": (0.1, 0.0, 0.0), "and": (0.0, 0.1, 0.0), "with": (0.2, 0.0, 0.1), "of": (0.0, -0.1, 0.0), "for": (0.1, 0.1, 0.1), "from": (-0.1, 0.0, 0.1), "this": (0.0, 0.0, 0.2), "that": (0.0, 0.0, -0.2)}
-
-#: Upper bounds in billions and the labels of parameter classes; the last has none. Fixed values.
-SIZE_CLASSES = ((1, "sub-1B"), (3, "1B-class"), (5, "3B-class"), (9, "7B-class"), (20, "13B-class"), (40, "30B-class"), (80, "70B-class"), (None, "frontier-class"))
-
+#: Words whose affect (evaluation, potency, activity) is known, in tenths, so that sums are exact. Fixed values.
+AFFECT = {"the": (1, 0, 0), "and": (0, 1, 0), "with": (2, 0, 1), "of": (0, -1, 0), "for": (1, 1, 1), "from": (-1, 0, 1), "this": (0, 0, 2), "that": (0, 0, -2)}
 
 def html_to_text(html: Column) -> Column:
     """Readable text: scripts, styles and page furniture go, block tags break lines, entities are decoded, blanks collapse."""
@@ -49,14 +45,6 @@ def size_number(text: Column) -> Column:
     return number * F.when(unit == "B", 1.0).when(unit == "M", 1e-3).when(unit == "K", 1e-6)
 
 
-def size_class(billions: Column) -> Column:
-    out = None
-    for bound, label in SIZE_CLASSES:
-        cond = F.lit(True) if bound is None else billions < bound
-        out = F.when(cond, label) if out is None else out.when(cond, label)
-    return F.when(billions.isNotNull(), out)
-
-
 def popularity(likes: Column, downloads: Column) -> Column:
     """A log-scaled score of likes and downloads."""
     return 2 * F.log1p(likes.cast("double")) + 0.5 * F.log1p(downloads.cast("double"))
@@ -72,9 +60,9 @@ def affect(text: Column) -> list[Column]:
     hits = F.size(words)
     out = []
     for axis in range(3):
-        table = F.create_map(*[x for w, v in AFFECT.items() for x in (F.lit(w), F.lit(float(v[axis])))])
-        total = F.aggregate(words, F.lit(0.0), _adder(table))
-        out.append(F.when(hits > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total))))
+        table = F.create_map(*[x for w, v in AFFECT.items() for x in (F.lit(w), F.lit(v[axis]))])
+        total = F.aggregate(words, F.lit(0), _adder(table))
+        out.append(F.when(hits > 0, F.greatest(F.lit(-10), F.least(F.lit(10), total)) / 10.0))
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy, text
 from ..network import Network, from_driver
-from ..operators import certify, filters, graph, navigate, records, search, stats
+from ..operators import certify, extract, filters, graph, navigate, records, search, stats
 from ..schema import Query
 from ..streaming import events
 from .prelude import on_network
@@ -430,20 +430,42 @@ def _(table) -> DataFrame:
     return table("documents").select("doc_id", text.card_quality(F.col("text")).alias("quality"))
 
 
-_LEXICON = ", ".join(f"('{w}', {v[0]}::DOUBLE, {v[1]}::DOUBLE, {v[2]}::DOUBLE)" for w, v in text.AFFECT.items())
+_LEXICON = ", ".join(f"('{w}', {v[0]}, {v[1]}, {v[2]})" for w, v in text.AFFECT.items())
 
 
 @plan("epa_scores", f"""WITH lex(w, e, p, a) AS (VALUES {_LEXICON}), t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents WHERE lang = 'en')
-SELECT doc_id, round(CASE WHEN count(lex.w) > 0 THEN greatest(-1.0, least(1.0, sum(e))) END, 6) AS e, round(CASE WHEN count(lex.w) > 0 THEN greatest(-1.0, least(1.0, sum(p))) END, 6) AS p, round(CASE WHEN count(lex.w) > 0 THEN greatest(-1.0, least(1.0, sum(a))) END, 6) AS a FROM t LEFT JOIN lex USING (w) GROUP BY doc_id""", network=False)
+SELECT doc_id, CASE WHEN count(lex.w) > 0 THEN greatest(-10, least(10, sum(e))) END / 10.0::DOUBLE AS e, CASE WHEN count(lex.w) > 0 THEN greatest(-10, least(10, sum(p))) END / 10.0::DOUBLE AS p, CASE WHEN count(lex.w) > 0 THEN greatest(-10, least(10, sum(a))) END / 10.0::DOUBLE AS a FROM t LEFT JOIN lex USING (w) GROUP BY doc_id""", network=False)
 def _(table) -> DataFrame:
     e, p, a = text.affect(F.col("text"))
-    return table("documents").where("lang = 'en'").select("doc_id", F.round(e, 6).alias("e"), F.round(p, 6).alias("p"), F.round(a, 6).alias("a"))
+    return table("documents").where("lang = 'en'").select("doc_id", e.alias("e"), p.alias("p"), a.alias("a"))
 
 
-@plan("size_classes", "SELECT model_id, params_b, CASE WHEN params_b < 1 THEN 'sub-1B' WHEN params_b < 3 THEN '1B-class' WHEN params_b < 5 THEN '3B-class' WHEN params_b < 9 THEN '7B-class' WHEN params_b < 20 THEN '13B-class' WHEN params_b < 40 THEN '30B-class' WHEN params_b < 80 THEN '70B-class' ELSE 'frontier-class' END AS size_class FROM facts")
+@plan("size_classes", "SELECT model_id, params_b, CASE WHEN params_b < 0.5 THEN 'sub-1B' WHEN params_b < 1.5 THEN '1B-class' WHEN params_b < 5 THEN '3B-class' WHEN params_b < 10 THEN '7B-class' WHEN params_b < 20 THEN '13B-class' WHEN params_b < 50 THEN '30B-class' WHEN params_b < 100 THEN '70B-class' ELSE 'frontier-class' END AS size_class FROM facts")
 def _(net: Network) -> DataFrame:
     named = net.facts.withColumn("text", F.concat(F.col("params_b").cast("string"), F.lit("B")))
-    return named.select("model_id", "params_b", text.size_class(text.size_number(F.col("text"))).alias("size_class"))
+    return named.select("model_id", "params_b", extract.bucket(text.size_number(F.col("text")), 4).alias("size_class"))
+
+
+def _raw(net: Network) -> DataFrame:
+    """Raw records made of the facts: sizes as a map, a number, bytes, in the name or in a tag."""
+    k = F.col("p_partkey") % 5
+    count = (F.col("p_size").cast("bigint") * 100_000_000).cast("string")
+    weights = F.when(k == 0, F.concat(F.lit('{"parameters": {"F16": '), count, F.lit("}}"))).when(k == 1, F.concat(F.lit('{"parameters": '), count, F.lit("}"))).when(k == 2, F.concat(F.lit('{"total": '), count, F.lit("}")))
+    name = F.when(k == 3, F.concat("model_id", F.lit("-"), F.col("p_size").cast("string"), F.lit("B-q4_k_m"))).otherwise(F.col("model_id"))
+    tags = F.array(F.when(k == 4, F.concat(F.col("p_size").cast("string"), F.lit("b"))).otherwise(F.lit("none")), F.lit("en"), F.concat(F.lit("dataset:"), "word1"), F.concat(F.lit("license:"), F.lower("p_type")))
+    config = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('{"hidden_size": 64, "num_hidden_layers": '), F.col("p_size").cast("string"), F.lit(', "num_attention_heads": 4, "vocab_size": 100, "max_position_embeddings": '), (F.col("p_size") * 4000).cast("string"), F.lit("}")))
+    return net.facts.select(name.alias("model_id"), tags.alias("tags"), F.col("likes"), (F.col("downloads") * 2000).cast("bigint").alias("downloads"), F.lit("2024-01-01").alias("created_at"), F.lit(None).cast("string").alias("license"), weights.alias("safetensors"), config.alias("config"))
+
+
+@plan("extract_records", """SELECT CASE WHEN p_partkey % 5 = 3 THEN model_id || '-' || p_size || 'B-q4_k_m' ELSE model_id END AS model_id, b AS params_b, CASE WHEN b < 5 THEN -1 WHEN b < 10 THEN 0 ELSE 1 END AS efficiency_sign,
+CASE WHEN b < 0.5 THEN 3 WHEN b < 1.5 THEN 2 WHEN b < 5 THEN 1 WHEN b < 10 THEN 0 WHEN b < 20 THEN 1 WHEN b < 50 THEN 2 WHEN b < 100 THEN 3 ELSE 4 END AS efficiency_depth,
+CASE WHEN s > 5 THEN CASE WHEN s > 15 THEN 1 ELSE 0 END ELSE -1 END AS quality_sign, CASE WHEN s > 25 THEN 2 WHEN s > 15 THEN 1 WHEN s > 5 THEN 0 WHEN s > 1 THEN 1 ELSE 2 END AS quality_depth,
+array_to_string(list_sort(list_filter([CASE WHEN b < 0.5 THEN 'sub-1B' WHEN b < 1.5 THEN '1B-class' WHEN b < 5 THEN '3B-class' WHEN b < 10 THEN '7B-class' WHEN b < 20 THEN '13B-class' WHEN b < 50 THEN '30B-class' WHEN b < 100 THEN '70B-class' ELSE 'frontier-class' END, CASE WHEN b < 4 THEN 'consumer-GPU-viable' END, CASE WHEN b < 1 THEN 'edge-deployable' END,
+CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_size * 4000 >= 131072 THEN 'long-context-128k' WHEN p_size * 4000 >= 32768 THEN 'long-context-32k' END END, CASE WHEN d > 1000000 THEN 'high-downloads' END, CASE WHEN likes > 1000 THEN 'community-favorite' END, CASE WHEN p_partkey % 5 = 3 THEN 'quantized' END], lambda x: x IS NOT NULL)), ',') AS labels,
+CASE WHEN p_size % 2 = 0 THEN substr(sha256('64:' || p_size || ':4:100'), 1, 16) END AS fingerprint, lower(p_type) AS license, CASE WHEN p_partkey % 5 = 3 THEN 'Q4_K_M' END AS quant_level, word1 AS datasets, 'en' AS languages
+FROM (SELECT *, round(CASE p_partkey % 5 WHEN 0 THEN p_size / 10.0 WHEN 1 THEN p_size / 10.0 WHEN 2 THEN p_size / 20.0 ELSE p_size END::DOUBLE, 6) AS b, CAST(downloads * 2000 AS BIGINT) AS d, 2 * ln(1 + likes) + 0.5 * ln(1 + CAST(downloads * 2000 AS BIGINT)) AS s FROM facts)""")
+def _(net: Network) -> DataFrame:
+    return extract.extract(_raw(net), F.lit("2025-01-01").cast("date"))
 
 
 @plan("popularity_score", "SELECT model_id, round(2 * ln(1 + likes) + 0.5 * ln(1 + downloads), 6) AS popularity FROM facts")
