@@ -131,3 +131,63 @@ def anchor_neighbours(net: Network, model_id: str, bank: str | None = None, limi
     mine = held.where(F.col("model_id") == model_id).select("anchor_id")
     shared = held.where(F.col("model_id") != model_id).join(F.broadcast(mine), "anchor_id").groupBy("model_id").agg(F.count(F.lit(1)).alias("shared"))  # one model's labels
     return shared.orderBy(F.desc("shared"), "model_id").limit(limit)
+
+
+def spread_mixed(net: Network, seeds: tuple[str, ...], depth: int = 2, decay: float = 0.7, label_decay: float = 0.4, threshold: float = 0.05, cutoff: int = 5000, width: int = 12, limit: int = 50) -> DataFrame:
+    """Activation along links and shared labels: the strongest path of at most ``depth`` steps, with the path.
+
+    A link passes activation times decay and its relation's weight; a label times its decay and the other's confidence, to
+    the ``width`` most confident carriers, fewer for popular labels and none beyond the cutoff.
+    """
+    spark = net.models.sparkSession
+    relation = F.when(F.col("relation").isin("fine_tuned_from", "quantized_from"), 1.0).when(F.col("relation") == "merged_from", 0.7).otherwise(0.5)
+    one = net.links.select(F.col("source_id").alias("node"), F.col("target_id").alias("other"), relation.alias("step"), "relation")
+    back = net.links.select(F.col("target_id").alias("node"), F.col("source_id").alias("other"), relation.alias("step"), "relation")
+    linked = one.union(back).select("node", "other", (F.col("step") * decay).alias("step"), F.col("relation").alias("via"))
+    popular = net.model_anchors.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= cutoff)
+    reach = F.greatest(F.lit(3), F.floor(width * (0.4 + 0.6 * (1 - F.col("n") / cutoff))))
+    rank = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("confidence"), "model_id"))
+    carriers = stored(net.model_anchors.join(popular, "anchor_id").withColumn("k", rank).where(F.col("k") <= reach).select("anchor_id", "label", F.col("model_id").alias("other"), F.col("confidence").alias("gets")), "carriers")
+    reached = spark.createDataFrame([(s, 1.0, [s]) for s in seeds], "node string, activation double, path array<string>")
+    best = reached
+    for hop in range(depth):
+        from_links = reached.join(linked, "node").select("other", (F.col("activation") * F.col("step")).alias("activation"), "path")
+        mine = net.model_anchors.select(F.col("model_id").alias("node"), "anchor_id", F.col("confidence").alias("gives"))
+        from_labels = reached.join(mine, "node").join(carriers, "anchor_id").where("node <> other").select("other", (F.col("activation") * label_decay * F.col("gives") * F.col("gets")).alias("activation"), "path")
+        step = from_links.union(from_labels).where(F.col("activation") >= threshold).select(F.col("other").alias("node"), "activation", F.concat("path", F.array("other")).alias("path"))
+        strongest = F.max(F.struct("activation", "path")).alias("x")
+        reached = stored(step.groupBy("node").agg(strongest).select("node", "x.activation", "x.path"), f"spread-{hop}")
+        best = best.union(reached)
+    top = best.groupBy("node").agg(F.max(F.struct("activation", "path")).alias("x")).where(~F.col("node").isin(*seeds))
+    return top.select(F.col("node").alias("model_id"), F.round("x.activation", 6).alias("activation"), F.col("x.path").alias("path")).orderBy(F.desc("activation"), "model_id").limit(limit)
+
+
+def hierarchy(parents: DataFrame, hops: int = 32) -> DataFrame:
+    """(label, ancestor, depth) for a table of (label, parent): every ancestor at its least distance; cycles end at ``hops``."""
+    reached = frontier = parents.select("label", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).where("label <> parent")
+    for depth in range(2, hops + 1):
+        step = frontier.join(parents.select(F.col("label").alias("ancestor"), "parent"), "ancestor").select("label", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).where("label <> ancestor").distinct()
+        frontier = stored(step.join(reached.select("label", "ancestor"), ["label", "ancestor"], "left_anti"), f"hierarchy-{depth}")
+        if not frontier.limit(1).count():
+            break
+        reached = reached.union(frontier)
+    return reached
+
+
+def propagate(net: Network, least_weight: int = 2) -> DataFrame:
+    """The label table with inherited labels added; labels that models have stay as they are."""
+    added = inherited(net, least_weight).join(F.broadcast(net.anchors.select("label", "anchor_id", "bank")), "label")  # the closed vocabulary
+    return net.model_anchors.unionByName(added.select("model_id", "anchor_id", "label", "bank", "confidence"))
+
+
+def bank_activation(net: Network, activated: DataFrame) -> DataFrame:
+    """Activation of models by the banks of their labels."""
+    share = net.model_anchors.join(activated.select("model_id", "activation"), "model_id")
+    return share.groupBy("model_id", "bank").agg(F.round(F.sum(F.col("activation") * F.col("confidence")), 6).alias("activation"))
+
+
+def lineage_order(net: Network, model_id: str) -> DataFrame:
+    """Neighbours of a model from its sources to its derivatives, by their signed LINEAGE coordinate."""
+    near = lineage_view(net, model_id).select("other").distinct()
+    at = net.positions.where("bank = 'LINEAGE'").select(F.col("model_id").alias("other"), (F.col("path_sign") * F.col("path_depth")).alias("position"))
+    return near.join(at, "other", "left").orderBy(F.col("position").asc_nulls_last(), "other")

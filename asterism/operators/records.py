@@ -92,3 +92,101 @@ def order_parameter(net: Network) -> DataFrame:
     theta = (v + 4) / 8.0 * F.pi()
     agg = net.positions.groupBy("model_id").agg(F.avg(F.cos(theta)).alias("x"), F.avg(F.sin(theta)).alias("y"), F.count(F.lit(1)).alias("n"))
     return agg.where("n >= 2").select("model_id", F.round(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")), 6).alias("r"))
+
+
+#: Tables whose writes are audited, with their key columns.
+CANONICAL = {"models": ("model_id",), "positions": ("model_id", "bank"), "anchors": ("anchor_id",), "model_anchors": ("model_id", "anchor_id")}
+
+
+class ContractError(ValueError):
+    """A write that the contract of audited tables doesn't allow."""
+
+
+def patch_field(table: str, current: DataFrame, key: dict[str, object], field: str, value: object, reason: str, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(table after the patch, audit row): one field of one row; a dry run leaves the table as it is.
+
+    Refused are unknown tables and fields, keys that aren't the table's, fields of the key, empty reasons, and rows that don't exist.
+    """
+    if table not in CANONICAL:
+        raise ContractError(f"{table} isn't audited")
+    if tuple(sorted(key)) != tuple(sorted(CANONICAL[table])):
+        raise ContractError(f"the key of {table} is {CANONICAL[table]}")
+    if field not in current.columns or field in CANONICAL[table]:
+        raise ContractError(f"{field} can't be patched")
+    if not reason.strip():
+        raise ContractError("a patch needs a reason")
+    here = F.lit(True)
+    for column, wanted in key.items():
+        here = here & F.col(column).eqNullSafe(F.lit(wanted))
+    old = current.where(here).select(field).limit(2).collect()
+    if len(old) != 1:
+        raise ContractError("no such row" if not old else "more than one row")
+    kind = current.schema[field].dataType
+    audit = current.sparkSession.createDataFrame([(table, field, str(key), None if old[0][0] is None else str(old[0][0]), None if value is None else str(value), reason, dry_run)], "table string, field string, key string, old_value string, new_value string, reason string, dry_run boolean")
+    after = current if dry_run else current.withColumn(field, F.when(here, F.lit(value).cast(kind)).otherwise(F.col(field)))
+    return after, audit
+
+
+def insert_new(current: DataFrame, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(table with new rows, rows refused): rows with a null or known key are refused, of repeated ones all but one."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    fresh = rows.where(whole).dropDuplicates(keys).join(current.select(keys), keys, "left_anti")
+    known = rows.where(whole).join(current.select(keys), keys, "left_semi").withColumn("error", F.lit("exists"))
+    refused = rows.where(~whole).withColumn("error", F.lit("null key")).unionByName(known)
+    return current.unionByName(fresh), refused
+
+
+def ensure_anchors(anchors: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dictionary with the wanted labels, conflicts): new labels get an id of bank and label; a known label keeps its bank, and another bank is a conflict."""
+    known = anchors.select("label", F.col("bank").alias("known_bank"))
+    joined = wanted.select("label", "bank").distinct().join(known, "label", "left")
+    first = joined.where("known_bank is null").groupBy("label").agg(F.min("bank").alias("bank"))
+    added = first.select(F.concat_ws(":", "bank", "label").alias("anchor_id"), "label", "bank", F.lit("runtime").alias("category"))
+    return anchors.unionByName(added), joined.where("known_bank <> bank").select("label", "bank", "known_bank")
+
+
+def heal(net: Network, healed: DataFrame) -> DataFrame:
+    """The label table after repairs (model_id, labels): weak labels (confidence 0.5) that the repair lacks go, missing ones come with 0.6."""
+    wanted = healed.select("model_id", F.explode("labels").alias("label")).distinct()
+    touched = healed.select("model_id").distinct()
+    weak = net.model_anchors.where("confidence = 0.5").join(touched, "model_id", "left_semi").join(wanted, ["model_id", "label"], "left_anti")
+    kept = net.model_anchors.join(weak.select("model_id", "label"), ["model_id", "label"], "left_anti")
+    added = wanted.join(net.model_anchors.select("model_id", "label"), ["model_id", "label"], "left_anti").join(F.broadcast(net.anchors.select("label", "anchor_id", "bank")), "label")  # the closed vocabulary
+    return kept.select("model_id", "anchor_id", "label", "bank", "confidence").unionByName(added.select("model_id", "anchor_id", "label", "bank", F.lit(0.6).alias("confidence")))
+
+
+def anchor_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per model the labels added and removed, sorted."""
+    old = before.groupBy("model_id").agg(F.collect_set("label").alias("old"))
+    new = after.groupBy("model_id").agg(F.collect_set("label").alias("new"))
+    both = old.join(new, "model_id", "full").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("old", "new")})
+    out = both.select("model_id", F.array_join(F.array_sort(F.array_except("new", "old")), ",").alias("added"), F.array_join(F.array_sort(F.array_except("old", "new")), ",").alias("removed"))
+    return out.where("added <> '' or removed <> ''")
+
+
+def select_summaries(candidates: DataFrame, existing: DataFrame, precedence: tuple[str, ...]) -> DataFrame:
+    """One summary (model_id, tier, summary) for each model without one: of the first tier in the order that has any, the first by text."""
+    order = F.array_position(F.array(*map(F.lit, precedence)), F.col("tier"))
+    rank = F.row_number().over(Window.partitionBy("model_id").orderBy(order, "summary"))
+    todo = candidates.where(F.col("tier").isin(*precedence) & (F.trim("summary") != "")).join(existing.select("model_id"), "model_id", "left_anti")
+    return todo.withColumn("k", rank).where("k = 1").select("model_id", "tier", "summary")
+
+
+def median_upper(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """The upper median of a column by groups, with mean and count."""
+    w = Window.partitionBy(*by)
+    ranked = df.where(F.col(column).isNotNull()).withColumn("k", F.row_number().over(w.orderBy(column))).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("mean", F.avg(column).over(w))
+    return ranked.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select(*by, F.col(column).alias("median"), F.round("mean", 6).alias("mean"), "n")
+
+
+def finding_scores(net: Network, findings: DataFrame) -> DataFrame:
+    """Per model 1 less 0.2 for each finding, at least 0; 1 without any."""
+    n = findings.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
+    return net.models.join(n, "model_id", "left").select("model_id", F.coalesce("n", F.lit(0)).alias("findings"), F.greatest(F.lit(0.0), F.round(1 - 0.2 * F.coalesce("n", F.lit(0)), 6)).alias("score"))
+
+
+def efficiency_dissent(net: Network, limit: int = 200) -> DataFrame:
+    """Models whose coordinates agree least: order parameter under 0.95, lowest first."""
+    return order_parameter(net).where("r < 0.95").orderBy("r", "model_id").limit(limit)

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue
+from . import (
+    catalogue,
+    catalogue_more,  # noqa: F401  it registers its queries
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
