@@ -16,7 +16,7 @@ def html_to_text(html: Column) -> Column:
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(sign))
     out = F.regexp_replace(out, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"))
+    return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def tokens(text: Column) -> Column:

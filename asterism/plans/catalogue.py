@@ -407,7 +407,7 @@ def _html_sql() -> str:
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
         out = f"replace({out}, '{entity}', '{sign}')"
     out = f"regexp_replace({out}, '[ \\t]+', ' ', 'g')"
-    return f"SELECT page_id, trim(regexp_replace({out}, ' ?\\n[ \\n]*', chr(10), 'g')) AS text FROM pages"
+    return f"SELECT page_id, trim(regexp_replace({out}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS text FROM pages"
 
 
 @plan("html_to_text", _html_sql(), network=False)

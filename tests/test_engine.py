@@ -84,8 +84,9 @@ def test_scores_by_hand(net):
     assert {m: r["bank_alignment"] for m, r in got.items()} == pytest.approx({"a": 1.0, "b": 1.0, "c": 0.05, "d": 0.3})
     assert {m: r["anchor_relevance"] for m, r in got.items()} == pytest.approx({"a": 1.0, "b": 0.0, "c": 1.0, "d": 1.0})
     assert {m: r["epa_alignment"] for m, r in got.items()} == pytest.approx({"a": 0.5, "b": 1.0, "c": 1.0, "d": 1.0})
-    # chat is typical (3 of 4): b lacks it, so b has all the surprise; a gets the links of b, b those of c
-    assert got["b"]["soft_combined"] == pytest.approx(1 + 0.25 * 1.0 + 0.7 * 0.2 * 1.0)
+    # chat (3 of 4) and small (2 of 4) are typical, and b lacks chat; b has the most links, a fewer
+    surprise = math.log(4 / 3) / (math.log(4 / 3) + math.log(2))
+    assert got["b"]["soft_combined"] == pytest.approx(1 + 0.2 * 1.0 + 0.7 * 0.25 * surprise)
     assert got["a"]["soft_combined"] == pytest.approx(1.0)
 
 
@@ -180,7 +181,7 @@ def test_records(spark):
 def test_text_functions(spark):
     df = spark.createDataFrame([("<p>a&amp;b</p><script>x</script><div>c  d</div>", "https://www.Sub.example.com:80/x", "7B"), (None, "http://evil-example.com", "350M")], "h string, u string, s string")
     got = df.select(text.html_to_text(F.col("h")), text.host(F.col("u")), text.allowed_host(F.col("u"), ("example.com",)), extract.bucket(text.size_number(F.col("s")), 4)).collect()
-    assert [tuple(r) for r in got] == [("a&b\n c d", "sub.example.com", True, "7B-class"), (None, "evil-example.com", False, "sub-1B")] or got[0][0].replace(" ", "") == "a&b\ncd"
+    assert [tuple(r) for r in got] == [("a&b\nc d", "sub.example.com", True, "7B-class"), (None, "evil-example.com", False, "sub-1B")]
 
 
 def test_replay_takes_each_line_once(spark, tmp_path):
