@@ -100,7 +100,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     chosen = [r[0] for r in even.orderBy(F.xxhash64("row"), "row").limit(pivots).select("v").collect()]
     base = spark.sparkContext.broadcast((np.array(chosen, dtype=np.float64), float(radius2)))
     q, c = _blocks(even.where(asked), QUERY_BLOCK, n_asks, "q"), _blocks(even, CANDIDATE_BLOCK, n, "c")
-    sent = c.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n_asks // QUERY_BLOCK)) - 1))))
+    every = lambda of, size: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-of // size)) - 1)))
+    sent, asks = c.withColumn("q", every(n_asks, QUERY_BLOCK)), q.withColumn("c", every(n, CANDIDATE_BLOCK))  # keyed by the pair, so that pairs of blocks spread over tasks
     names = ["q_ids", "q_rows", "q_flat", "c_ids", "c_rows", "c_flat"]
     schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("score", pa.int64()), ("evaluated", pa.int64())])
 
@@ -116,7 +117,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                     columns = [same * x["q_rows"][place], same * x["q_ids"][place], x["c_ids"][found], x["c_rows"][found], scores, same * done]
                     yield pa.RecordBatch.from_arrays([pa.array(y) for y in columns], schema=schema)
 
-    found = sent.join(q, "q").select(*names).mapInArrow(run, "query_row bigint, query_id bigint, id bigint, row bigint, score bigint, evaluated bigint")
+    found = sent.join(asks, ["q", "c"]).select(*names).mapInArrow(run, "query_row bigint, query_id bigint, id bigint, row bigint, score bigint, evaluated bigint")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score", "evaluated")
