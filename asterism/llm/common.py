@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -45,7 +46,9 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
             if spark.sparkContext._jsc is not None:
                 remove(spark, path)
         except Exception:  # the JVM may have gone before this hook runs
-            return
+            pass
+        if path.startswith(("file:", "/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
     atexit.register(clean)
     return path
