@@ -7,6 +7,7 @@ read back, so every plan starts from pruned Parquet scans with statistics instea
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -56,7 +57,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
         except Exception:  # the JVM may have gone before this hook runs
-            return
+            pass
+        if path.startswith(("file:", "/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
     atexit.register(clean)
     return spark.read.schema(df.schema).parquet(path)

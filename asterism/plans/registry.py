@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     catalogue,
-    catalogue_more,  # noqa: F401  it registers its queries
+    catalogue_enrich,  # noqa: F401  these register their queries
+    catalogue_more,  # noqa: F401
 )
 
 
