@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import mul
 
 from pyspark.sql import Column, DataFrame
@@ -101,18 +101,26 @@ def centrality(scored: DataFrame, column: str = "pagerank") -> DataFrame:
     """
     values = scored.where(F.col(column) > 0).select(column).distinct()
     ranked = values.withColumn("k", F.row_number().over(Window.orderBy(column)) - 1)
-    top = ranked.agg(F.max("k").alias("top")).first()["top"] or 0
-    if top == 0:
-        return scored.withColumn("pr_frac", F.lit(0.0))
-    fraction = ranked.select(F.col(column).alias("__v"), (F.col("k") / F.lit(float(top))).alias("pr_frac"))
+    top = ranked.agg(F.max("k").cast("double")).scalar()
+    fraction = ranked.select(F.col(column).alias("__v"), F.try_divide(F.col("k"), top).alias("pr_frac"))
     return scored.join(fraction, F.col(column) == F.col("__v"), "left").drop("__v").withColumn("pr_frac", F.coalesce("pr_frac", F.lit(0.0)))
 
 
 def pagerank_proxy(net: Network) -> DataFrame:
     """A stored centrality per model: its share of the weight of lineage links that point at it."""
     into = net.links.where(F.col("relation").isin(*S.LINEAGE_RELATIONS)).groupBy(F.col("target_id").alias("model_id")).agg(F.sum("weight").alias("w"))
-    total = net.links.where(F.col("relation").isin(*S.LINEAGE_RELATIONS)).agg(F.sum("weight")).first()[0] or 1
-    return into.select("model_id", (F.col("w") / F.lit(float(total))).alias("pagerank"))
+    return into.select("model_id", (F.col("w") / F.lit(lineage_weight(net))).alias("pagerank"))
+
+
+@lru_cache(maxsize=16)
+def lineage_weight(net: Network) -> float:
+    """The summed weight of all lineage links of a network, which doesn't change."""
+    return float(net.links.where(F.col("relation").isin(*S.LINEAGE_RELATIONS)).agg(F.sum("weight")).first()[0] or 1)
+
+
+@lru_cache(maxsize=16)
+def model_count(net: Network) -> int:
+    return net.models.count()
 
 
 def mechanical_fraction(q: Query, idf: dict[str, float], bank_of: dict[str, str]) -> float:
@@ -126,26 +134,32 @@ def mechanical_fraction(q: Query, idf: dict[str, float], bank_of: dict[str, str]
 def scored(net: Network, q: Query) -> DataFrame:
     """Every candidate with its factors and score, without an order.
 
-    To the driver go only figures of the labels that the query names and of the standards, fewer than the reciprocal of
-    the standards' share times a model's labels.
+    One job counts labels over the corpus and the candidates; the vocabulary is closed, so that its counts fit the driver.
+    Another counts the candidates, and the rest is one plan.
     """
+    constrained = bool(q.require or q.min_depth or q.max_depth)
     chosen = candidates(net, q)
-    counts = stats.idf(net)
-    named = sorted({*q.require, *q.prefer, *q.avoid, *q.context})
+    total_models = model_count(net)
+    c = chosen.count() if constrained else total_models
+    bridge = net.model_anchors.join(chosen.withColumn("chosen", F.lit(True)), "model_id", "left") if constrained else net.model_anchors.withColumn("chosen", F.lit(True))
+    uses = bridge.groupBy("label").agg(F.count(F.lit(1)).alias("n_g"), F.count("chosen").alias("n_c"))
+    vocabulary = net.anchors.select("label", "bank").join(uses, "label", "left").na.fill(0, ["n_g", "n_c"]).collect()
+    idf = {r["label"]: math.log(total_models / max(r["n_g"], 1)) for r in vocabulary} if total_models else {}
     seed = [r["label"] for r in net.model_anchors.where(F.col("model_id") == q.similar_to).select("label").distinct().collect()] if q.similar_to else []
-    asked = {r["label"]: r for r in counts.join(F.broadcast(net.anchors.select("label", "bank")), "label").where(F.col("label").isin(*named, *seed)).collect()} if named or seed else {}
-    idf = {a: r["idf"] for a, r in asked.items()}
-    positive = {r["label"]: r["pmi"] for r in stats.pmi(net, chosen).where(F.col("label").isin(*q.prefer)).collect()} if q.prefer else {}
-    typical = {r["label"]: r["p"] for r in stats.standards(net, chosen, q.require).collect()}
-    weights = mode_weights(q.mode, mechanical_fraction(q, idf, {a: r["bank"] for a, r in asked.items()}))
+    share = {r["label"]: r["n_c"] / c for r in vocabulary if r["n_c"]} if c else {}
+    gain = {r["label"]: math.log(share[r["label"]] / (r["n_g"] / total_models)) for r in vocabulary if r["label"] in share}
+    positive = {a: gain[a] for a in q.prefer if gain.get(a, 0.0) > 0}
+    typical = {a: p for a, p in share.items() if p > S.STANDARD_SHARE and a not in q.require}
+    weights = mode_weights(q.mode, mechanical_fraction(q, idf, {r["label"]: r["bank"] for r in vocabulary}))
 
     total = lambda labels, of: sum(of.get(a, 0.0) for a in sorted(labels))
     held = lambda labels, of: F.sum(reduce(lambda acc, a: acc.when(F.col("label") == a, F.lit(float(of.get(a, 0.0)))), sorted(labels), F.when(F.lit(False), 0.0)).otherwise(0.0))
     surprise = {a: -math.log(p) for a, p in typical.items()}
     sums = {"prefer_idf": held(set(q.prefer), idf), "context_idf": held(set(q.context), idf), "prefer_pmi": held(set(q.prefer), positive), "known": held(set(surprise), surprise), "seed_idf": held(set(seed), idf), "avoided": held(set(q.avoid), dict.fromkeys(q.avoid, 1.0))}
-    labelled = net.model_anchors.join(chosen, "model_id", "left_semi")
+    labelled = net.model_anchors.join(chosen, "model_id", "left_semi") if constrained else net.model_anchors
     if seed:
-        labelled = labelled.join(F.broadcast(counts.select("label", "idf")), "label")  # a dictionary of labels
+        weighed = net.models.sparkSession.createDataFrame([*idf.items()], "label string, idf double")
+        labelled = labelled.join(F.broadcast(weighed), "label")  # the closed vocabulary
         sums["all_idf"] = F.sum("idf")
     per_label = labelled.groupBy("model_id").agg(*[e.alias(c) for c, e in sums.items()])
     wide = net.positions.where(F.col("bank").isin(*q.directions)).groupBy("model_id").agg(*[F.max(F.when(F.col("bank") == b, F.col("path_sign") * F.col("path_depth"))).alias(b) for b in q.directions]) if q.directions else None
@@ -213,7 +227,7 @@ def navigate(net: Network, q: Query) -> DataFrame:
     labels = net.model_anchors.join(F.broadcast(best.select("model_id")), "model_id").groupBy("model_id").agg(F.sort_array(F.collect_set("label")).alias("labels"))  # at most ``limit`` models
     window = best.join(labels, "model_id", "left").collect()
     window.sort(key=lambda r: (-round(r["score"], 9), r["model_id"]))
-    named = stats.idf(net).join(net.anchors.select("label", "bank"), "label").where(F.col("label").isin(*q.require, *q.prefer)).collect() if q.require or q.prefer else []
+    named = stats.idf(net).join(net.anchors.select("label", "bank"), "label").where(F.col("label").isin(*q.require, *q.prefer)).collect() if q.mode not in MODES and (q.require or q.prefer) else []
     weights = mode_weights(q.mode, mechanical_fraction(q, {r["label"]: r["idf"] for r in named}, {r["label"]: r["bank"] for r in named}))
     order = rerank([(r["model_id"], r["score"], frozenset(r["labels"] or ())) for r in window], weights.relevance)
     rows = [(k, window[at]["model_id"], float(window[at]["score"]), float(window[at]["bank_alignment"]), float(window[at]["anchor_relevance"]), list(window[at]["labels"] or [])) for k, at in enumerate(order)]
