@@ -16,7 +16,7 @@ from ..network import Network
 #: Names of benchmarks that tables are searched for. Fixed values.
 BENCHMARKS = ("mmlu", "humaneval", "gsm8k", "hellaswag", "arc", "truthfulqa", "winogrande")
 #: Scores from which a benchmark earns a label. Fixed values.
-BENCHMARK_LABELS = {"mmlu": (70.0, "high-mmlu"), "humaneval": (40.0, "strong-code"), "gsm8k": (60.0, "strong-math")}
+BENCHMARK_LABELS = {"mmlu": (70.0, "high-mmlu"), "humaneval": (40.0, "strong-humaneval"), "gsm8k": (60.0, "strong-gsm8k")}
 
 
 def clean_card(card: Column, limit: int = 2000) -> Column:

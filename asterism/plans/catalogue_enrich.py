@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import vocabulary
 from ..network import Network
 from ..operators import enrich
 from .catalogue import plan
@@ -74,3 +75,14 @@ def _(table) -> DataFrame:
 def _(table) -> DataFrame:
     reason = F.when(F.col("o_orderkey") % 4 == 0, " ").when(F.col("o_orderkey") % 4 == 1, "Fix").when(F.col("o_orderkey") % 4 == 2, "abc").otherwise("corrected by the curator")
     return enrich.thin_reasons(table("orders").select("o_orderkey", reason.alias("reason"))).select("o_orderkey", "thin")
+
+
+@plan("mentioned_labels", "SELECT DISTINCT model_id, CASE w WHEN 'hot' THEN 'warm-goods' WHEN 'red' THEN 'colour' ELSE 'colour' END AS label FROM (SELECT model_id, unnest(regexp_split_to_array(lower(display_name), '[^a-z0-9]+')) AS w FROM models) WHERE w IN ('hot', 'red', 'blue')")
+def _(net: Network) -> DataFrame:
+    return vocabulary.mentioned(net.models, "display_name", {"hot": "warm-goods", "red": "colour", "blue": "colour"})
+
+
+@plan("benchmark_labels", "SELECT model_id, 'high-mmlu' AS label FROM facts WHERE p_size + 40.5 BETWEEN 70 AND 100")
+def _(net: Network) -> DataFrame:
+    rows = net.facts.select("model_id", F.lit("mmlu").alias("benchmark"), (F.col("p_size") + 40.5).alias("value")).where("value <= 100")
+    return enrich.benchmark_labels(rows, "model_id")

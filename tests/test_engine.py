@@ -226,3 +226,14 @@ def test_oracle(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, sf_dir, name):
     assert registry.queries()[name](spark, sf_dir).count() >= 0
+
+
+def test_vocabulary(spark, net):
+    from asterism import vocabulary
+
+    entries = vocabulary.entries()
+    assert len(entries) == len({label for _, label, _, _ in entries}) == 141
+    assert {vocabulary.WORDS[w] for w in vocabulary.WORDS} <= {label for _, label, _, _ in entries}
+    grown = vocabulary.anchors(spark, net.anchors)
+    assert grown.count() == net.anchors.count() + 141 - 1 and grown.where("label = 'chat'").count() == 1
+    assert vocabulary.migrated(net.anchors, {"parent_id": "string", "label": "string"}).columns == [*net.anchors.columns, "parent_id"]
