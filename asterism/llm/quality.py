@@ -104,6 +104,16 @@ def judge(df: DataFrame, host_col: str = "source", text_col: str = "text", keep:
 
 
 def keep_good(df: DataFrame, host_col: str = "source", text_col: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``df`` that ``judge`` keeps, with just their own columns, whatever these are called."""
-    held = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), df[host_col].alias("__source"), df[text_col].alias("__body"))
-    return judge(held, "__source", "__body", ["__row"], limit).where("kept").select("__row.*")
+    """The rows of ``df`` that ``judge`` keeps, with just their own columns, whatever these are called.
+
+    Only hosts' verdicts are written; counts are taken a second time where rows are filtered, which costs less than moving
+    or storing texts.
+    """
+    narrow = with_counts(df.select(df[host_col].cast("string").alias("__source"), df[text_col].alias("__body")), "__body")
+    rated = materialize(narrow.select("__source", any_rule_failed().alias("failed")), "rated")
+    verdicts = materialize(host_verdicts(rated, "__source", "failed", limit).select("__source", "host_kept"), "hosts")
+    held = df.select(F.struct(*[df[c] for c in df.columns]).alias("__row"), df[host_col].cast("string").alias("__source"), df[text_col].alias("__body"))
+    # the id keeps the optimizer from moving the filter below the counts, where it would take them again for every element
+    counted = with_counts(held, "__body").withColumn("__guard", F.monotonically_increasing_id())
+    passed = counted.where(~base_failed() & (F.col("__guard") >= 0)).select("__row", "__source")
+    return passed.join(verdicts, "__source", "left").where(F.coalesce("host_kept", F.lit(True))).select("__row.*")
