@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, partitions
 
 SCALE = 64
 K = 20
@@ -101,7 +101,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     base = spark.sparkContext.broadcast((np.array(chosen, dtype=np.float64), float(radius2)))
     q, c = _blocks(even.where(asked), QUERY_BLOCK, n_asks, "q"), _blocks(even, CANDIDATE_BLOCK, n, "c")
     every = lambda of, size: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-of // size)) - 1)))
-    sent, asks = c.withColumn("q", every(n_asks, QUERY_BLOCK)), q.withColumn("c", every(n, CANDIDATE_BLOCK))  # keyed by the pair, so that pairs of blocks spread over tasks
+    # dealt by the pair into a number of tasks that stays, since a pair is much work for few bytes
+    sent, asks = (x.repartition(partitions(spark), "q", "c") for x in (c.withColumn("q", every(n_asks, QUERY_BLOCK)), q.withColumn("c", every(n, CANDIDATE_BLOCK))))
     names = ["q_ids", "q_rows", "q_flat", "c_ids", "c_rows", "c_flat"]
     schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("score", pa.int64()), ("evaluated", pa.int64())])
 
