@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asterism.llm import packing, pii, quality, simhash, suffix_dedup
+from asterism.llm import minhash, packing, pii, quality, suffix_dedup
 from asterism.llm.common import materialize
 from asterism.llm.queries import TOKENIZERS
 
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    return simhash.keep_first(docs)
+    """The document with the smallest id of each group of texts that share 0.8 or more of their 5-word shingles."""
+    return minhash.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
