@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -425,6 +426,12 @@ def _(table) -> DataFrame:
     return table("documents").where("lang = 'en'").select("doc_id", F.size(text.tokens(F.col("text"))).alias("tokens"))
 
 
+@plan("token_counts_all", f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[a-z0-9_.-]+'), lambda t: length(t) > 1)) AS INT) AS tokens FROM documents", network=False)
+def _(table) -> DataFrame:
+    folded = F.translate("text", ascii_uppercase, ascii_lowercase)
+    return table("documents").select("doc_id", F.size(text.tokens(folded)).alias("tokens"))
+
+
 @plan("card_quality", "SELECT doc_id, round(((length(text) > 500)::INT + contains(text, chr(10))::INT + regexp_matches(text, '[A-Z][a-z]+')::INT + contains(text, '|')::INT + contains(text, 'http')::INT + regexp_matches(text, '[0-9]')::INT) / 6.0::DOUBLE, 2) AS quality FROM documents", network=False)
 def _(table) -> DataFrame:
     return table("documents").select("doc_id", text.card_quality(F.col("text")).alias("quality"))
