@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 
 #: Words whose affect (evaluation, potency, activity) is known, in tenths, so that sums are exact. Fixed values.
 AFFECT = {"the": (1, 0, 0), "and": (0, 1, 0), "with": (2, 0, 1), "of": (0, -1, 0), "for": (1, 1, 1), "from": (-1, 0, 1), "this": (0, 0, 2), "that": (0, 0, -2)}
+#: The reference's words of affect (evaluation, potency, activity), in tenths, so that sums are exact. Fixed values.
+LEXICON = {
+    "capable": (5, 0, 0), "reliable": (5, 0, 0), "solid": (4, 2, 0), "robust": (5, 3, 0), "polished": (4, 0, 0), "excellent": (7, 0, 0),
+    "strong": (5, 4, 0), "impressive": (6, 2, 0), "state-of-the-art": (7, 3, 0), "sota": (7, 3, 0), "leading": (5, 3, 0), "frontier": (6, 5, 0),
+    "flagship": (5, 4, 0), "premium": (4, 2, 0), "weak": (-4, -3, 0), "poor": (-5, 0, 0), "brittle": (-4, -2, 0), "buggy": (-5, 0, 0),
+    "limited": (-3, -2, 0), "experimental": (-2, 0, 2), "unstable": (-4, 0, 1), "outdated": (-4, -2, -2), "deprecated": (-5, -2, -2),
+    "large": (0, 6, 0), "huge": (0, 8, 0), "massive": (0, 9, 0), "big": (0, 5, 0), "small": (0, -5, 0), "tiny": (0, -7, 0), "mini": (0, -6, 0),
+    "compact": (1, -4, 2), "lightweight": (1, -5, 3), "efficient": (3, -2, 2), "heavy": (0, 6, -2), "heavyweight": (0, 7, -2), "powerful": (4, 6, 0),
+    "dense": (0, 5, -1), "sparse": (0, -3, 1), "moe": (2, 4, 0), "fast": (2, 0, 6), "quick": (2, 0, 5), "instant": (2, 0, 7), "responsive": (3, 0, 5),
+    "snappy": (2, 0, 6), "slow": (-2, 0, -6), "sluggish": (-3, 0, -6), "streaming": (1, 0, 4), "interactive": (2, 0, 5), "realtime": (2, 0, 7),
+    "batch": (0, 1, -3), "offline": (0, 0, -4), "reasoning": (4, 4, 0), "instruct": (3, 0, 2), "chat": (2, 0, 3), "code": (3, 0, 0),
+    "multimodal": (3, 3, 0), "vision": (2, 2, 0), "long-context": (3, 5, 0), "quantized": (0, -3, 2), "distilled": (1, -4, 3), "finetuned": (2, 0, 0),
+    "specialized": (3, 0, 0), "general": (2, 2, 0), "generalist": (2, 3, 0),
+}
 
 def html_to_text(html: Column) -> Column:
     """Readable text: scripts, styles and page furniture go, block tags break lines, entities are decoded, blanks collapse."""
@@ -66,6 +80,22 @@ def affect(text: Column) -> list[Column]:
     return out
 
 
+def _getter(axis: int):
+    return lambda values: values[axis]
+
+
+def epa(text: Column) -> list[Column]:
+    """Evaluation, potency and activity as the reference has them: its lexicon over tokens that keep hyphens, sums clipped to -1..1; null without a known word."""
+    table = F.create_map(*[x for w, v in LEXICON.items() for x in (F.lit(w), F.array(*map(F.lit, v)))])
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9-]+)"), 1), lambda w: w.isin(*LEXICON))
+    hits = F.transform(words, lambda w: F.element_at(table, w))
+    out = []
+    for axis in range(3):
+        total = F.aggregate(F.transform(hits, _getter(axis)), F.lit(0), lambda t, v: t + v)
+        out.append(F.when(F.size(hits) > 0, F.greatest(F.lit(-10), F.least(F.lit(10), total)) / 10.0))
+    return out
+
+
 def card_quality(text: Column) -> Column:
     """The share of six signs of a complete description: length, paragraphs, headings, lists or tables, links, numbers."""
     signs = [F.length(text) > 500, text.contains("\n"), text.rlike("[A-Z][a-z]+"), text.contains("|"), text.contains("http"), text.rlike("[0-9]")]

@@ -447,6 +447,17 @@ def _(table) -> DataFrame:
     return table("documents").where("lang = 'en'").select("doc_id", e.alias("e"), p.alias("p"), a.alias("a"))
 
 
+_WORDS = ", ".join(f"('{w}', {v[0]}, {v[1]}, {v[2]})" for w, v in text.LEXICON.items())
+
+
+@plan("epa_lexicon", f"""WITH lex(w, e, p, a) AS (VALUES {_WORDS}), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9-]+')) AS w FROM documents),
+hit AS (SELECT doc_id, {", ".join(f"greatest(-10, least(10, sum({x}))) / 10.0::DOUBLE AS {x}" for x in "epa")} FROM t JOIN lex USING (w) GROUP BY doc_id)
+SELECT d.doc_id, e, p, a FROM documents d LEFT JOIN hit USING (doc_id)""", network=False)
+def _(table) -> DataFrame:
+    e, p, a = text.epa(F.col("text"))
+    return table("documents").select("doc_id", e.alias("e"), p.alias("p"), a.alias("a"))
+
+
 @plan("size_classes", "SELECT model_id, params_b, CASE WHEN params_b < 0.5 THEN 'sub-1B' WHEN params_b < 1.5 THEN '1B-class' WHEN params_b < 5 THEN '3B-class' WHEN params_b < 10 THEN '7B-class' WHEN params_b < 20 THEN '13B-class' WHEN params_b < 50 THEN '30B-class' WHEN params_b < 100 THEN '70B-class' ELSE 'frontier-class' END AS size_class FROM facts")
 def _(net: Network) -> DataFrame:
     named = net.facts.withColumn("text", F.concat(F.col("params_b").cast("string"), F.lit("B")))

@@ -22,3 +22,9 @@ def folder(spark, tmp_path_factory):
 def test_token_counts_of_all_languages(spark, folder):
     want = {i: None if t is None else sum(len(w) > 1 for w in re.findall("[a-z0-9_.-]+", t.lower())) for i, _, t in TEXTS}
     assert {r["doc_id"]: r["tokens"] for r in registry.queries()["token_counts_all"](spark, folder).collect()} == want
+
+
+def test_epa_lexicon(spark, folder):
+    got = {r["doc_id"]: (r["e"], r["p"], r["a"]) for r in registry.queries()["epa_lexicon"](spark, folder).collect()}
+    none = (None, None, None)
+    assert got == {1: (0.5, 0.3, 0.0), 2: (0.9, -0.4, 0.6), 3: (0.3, 0.5, 0.0), 4: none, 5: none, 6: none, 7: (-0.2, 1.0, -0.6)}
