@@ -18,6 +18,10 @@ BENCHMARKS = ("mmlu", "humaneval", "gsm8k", "hellaswag", "arc", "truthfulqa", "w
 #: Scores from which a benchmark earns a label. Fixed values.
 BENCHMARK_LABELS = {"mmlu": (70.0, "high-mmlu"), "humaneval": (40.0, "strong-humaneval"), "gsm8k": (60.0, "strong-gsm8k")}
 
+#: Words of evaluation that the reference counts in paragraphs, as it spells them ("SOTA" never occurs in lower case). Fixed values.
+EVALUATIVE = ("excellent", "outstanding", "poor", "mediocre", "benchmark", "compared to", "better than", "worse than", "outperforms", "evaluation", "results", "score", "accuracy", "performance", "beats",
+              "state-of-the-art", "SOTA", "leaderboard", "fine-tuned", "trained on", "capabilities", "limitations", "mmlu", "humaneval", "gsm8k", "hellaswag", "arc")
+
 
 def clean_card(card: Column, limit: int = 2000) -> Column:
     """Prose of a description: front matter, code, images, links, tags and table rules go, blanks collapse."""
@@ -39,6 +43,30 @@ def paragraph_score(paragraph: Column, name: Column) -> Column:
     return 0.5 * F.coalesce(low.contains(F.lower(name)), F.lit(False)).cast("int") + 0.3 * words.cast("int") + 0.2 * F.length(paragraph).between(100, 1500).cast("int")
 
 
+def best_paragraphs(text: Column, name: Column, budget: int = 8000) -> Column:
+    """(paragraphs, chars) of the best paragraphs until the first that would overflow the budget, as the reference takes them.
+
+    A paragraph of 30 characters or more scores 0.5 a part of the name in it, 0.3 a word of evaluation and up to 0.2 for 500
+    characters, here in multiples of 1/2500; of equal scores the earlier goes first. Null texts have none.
+    """
+    parts = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"[/\s-]+"), lambda t: F.length(t) > 2))
+
+    def scored(p: Column, i: Column) -> Column:
+        low, n = F.lower(p), F.length(p)
+        words = sum((low.contains(w).cast("int") for w in EVALUATIVE), F.lit(0))
+        return F.struct((-(1250 * F.size(F.filter(parts, lambda t: low.contains(t))) + 750 * words + F.least(n, F.lit(500)))).alias("order"), i.alias("i"), n.alias("n"))
+
+    stripped = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), lambda p: F.trim(p, F.lit(" \t\n\r\x0b\x0c")))
+    ranked = F.array_sort(F.filter(F.transform(stripped, scored), lambda x: x["n"] >= 30))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(True).alias("more"))
+
+    def take(t: Column, x: Column) -> Column:
+        fits = t["more"] & (t["chars"] + x["n"] <= budget)
+        return F.struct((t["n"] + fits.cast("int")).alias("n"), (t["chars"] + F.when(fits, x["n"]).otherwise(0)).alias("chars"), fits.alias("more"))
+
+    return F.aggregate(ranked, start, take, lambda t: F.struct(t["n"].cast("bigint").alias("paragraphs"), t["chars"].cast("bigint").alias("chars")))
+
+
 def benchmark_rows(cards: DataFrame, key: str, text: str) -> DataFrame:
     """(key, benchmark, value) from table rows of descriptions: a known name in the first cell and the first number behind it."""
     lines = cards.select(key, F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").contains("|"))

@@ -22,6 +22,18 @@ def _(table) -> DataFrame:
     return parts.select("doc_id", "i", F.round(enrich.paragraph_score(F.col("p"), F.col("lang")), 6).alias("score"))
 
 
+_HITS = " + ".join(f"contains(lower(p), '{w}')::INT" for w in enrich.EVALUATIVE)
+
+
+@plan("best_paragraphs", f"""WITH parts AS (SELECT doc_id, source, unnest(string_split(text, chr(10) || chr(10))) AS raw, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents),
+ready AS (SELECT doc_id, i, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(source, '')), '[/\\s-]+'), lambda t: length(t) > 2)) AS terms, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS p FROM parts),
+scored AS (SELECT doc_id, i, length(p) AS n, 1250 * len(list_filter(terms, lambda t: contains(lower(p), t))) + 750 * ({_HITS}) + least(length(p), 500) AS score FROM ready WHERE length(p) >= 30),
+used AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY score DESC, i ROWS UNBOUNDED PRECEDING) AS used FROM scored)
+SELECT d.doc_id, count(n) AS paragraphs, CAST(coalesce(sum(n), 0) AS BIGINT) AS chars FROM documents d LEFT JOIN (SELECT * FROM used WHERE used <= 8000) USING (doc_id) GROUP BY d.doc_id""", network=False)
+def _(table) -> DataFrame:
+    return table("documents").select("doc_id", enrich.best_paragraphs(F.col("text"), F.col("source")).alias("x")).select("doc_id", "x.*")
+
+
 @plan("benchmark_tables", "SELECT model_id, 'mmlu' AS benchmark, p_size::DOUBLE + 40.5 AS value FROM facts WHERE p_size + 40.5 <= 100 UNION ALL SELECT model_id, 'gsm8k', p_size::DOUBLE FROM facts WHERE p_size % 2 = 0")
 def _(net: Network) -> DataFrame:
     size = F.col("p_size").cast("string")

@@ -28,3 +28,12 @@ def test_epa_lexicon(spark, folder):
     got = {r["doc_id"]: (r["e"], r["p"], r["a"]) for r in registry.queries()["epa_lexicon"](spark, folder).collect()}
     none = (None, None, None)
     assert got == {1: (0.5, 0.3, 0.0), 2: (0.9, -0.4, 0.6), 3: (0.3, 0.5, 0.0), 4: none, 5: none, 6: none, 7: (-0.2, 1.0, -0.6)}
+
+
+def test_best_paragraphs_keep_every_document(spark, tmp_path):
+    long, fair, good = "x" * 9000, "plain words " * 10, "the benchmark accuracy of the tiny thing is excellent"
+    texts = [long, f"{fair}\n\n{good}\n\nshort", f"{long}\n\n{fair}", "y" * 3000, None, f"{good}\n\n" + "z" * 7990 + f"\n\n{fair}"]
+    spark.createDataFrame([(i, t, "hub/tiny-model") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["paragraphs"], r["chars"]) for r in registry.queries()["best_paragraphs"](spark, str(tmp_path)).collect()}
+    n, g = len(fair.strip()), len(good)
+    assert got == {0: (0, 0), 1: (2, n + g), 2: (0, 0), 3: (1, 3000), 4: (0, 0), 5: (1, g)}
