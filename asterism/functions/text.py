@@ -102,6 +102,16 @@ def card_quality(text: Column) -> Column:
     return F.round(sum((s.cast("int") for s in signs), F.lit(0)) / 6.0, 2)
 
 
+#: Headings of the reference's six sections of a complete card: description, usage, training, evaluation, limitations, license.
+SECTIONS = ("description|about|overview|introduction", "usage|how to use|getting started|quick start", "training|fine-?tuning|methodology", "evaluation|benchmark|results|performance", "limitation|bias|risk|ethical", "license|citation|acknowledgment")
+
+
+def card_sections(text: Column) -> Column:
+    """The share of the six sections that a card has a heading of; 0 without text."""
+    found = sum((F.coalesce(text.rlike(rf"(?i)##?\s*(?:{names})"), F.lit(False)).cast("int") for names in SECTIONS), F.lit(0))
+    return F.round(found / 6.0, 2)
+
+
 def sample_key(seed: str, key: Column) -> Column:
     """A hash that orders rows reproducibly for sampling."""
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)

@@ -437,6 +437,14 @@ def _(table) -> DataFrame:
     return table("documents").select("doc_id", text.card_quality(F.col("text")).alias("quality"))
 
 
+_SECTIONS = " + ".join(rf"coalesce(regexp_matches(text, '(?i)##?\s*(?:{names})'), false)::INT" for names in text.SECTIONS)
+
+
+@plan("card_sections", f"SELECT doc_id, round(({_SECTIONS}) / 6.0::DOUBLE, 2) AS quality FROM documents", network=False)
+def _(table) -> DataFrame:
+    return table("documents").select("doc_id", text.card_sections(F.col("text")).alias("quality"))
+
+
 _LEXICON = ", ".join(f"('{w}', {v[0]}, {v[1]}, {v[2]})" for w, v in text.AFFECT.items())
 
 

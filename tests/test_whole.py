@@ -37,3 +37,10 @@ def test_best_paragraphs_keep_every_document(spark, tmp_path):
     got = {r["doc_id"]: (r["paragraphs"], r["chars"]) for r in registry.queries()["best_paragraphs"](spark, str(tmp_path)).collect()}
     n, g = len(fair.strip()), len(good)
     assert got == {0: (0, 0), 1: (2, n + g), 2: (0, 0), 3: (1, 3000), 4: (0, 0), 5: (1, g)}
+
+
+def test_card_sections(spark, tmp_path):
+    texts = ["# Overview\n##usage\n## Fine-Tuning\n# results\n##  Bias\n# Citation", "A long line | with 3 signs http://x\n" * 30, "## How to use", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["quality"] for r in registry.queries()["card_sections"](spark, str(tmp_path)).collect()}
+    assert got == {0: 1.0, 1: 0.0, 2: 0.17, 3: 0.0, 4: 0.0}
