@@ -13,7 +13,7 @@ from collections import defaultdict
 from math import exp, inf, log, sqrt
 from pathlib import Path
 
-from .pii import TYPES, Model, luhn, tokenize
+from .pii import TYPES, Decoder, Model, luhn, tokenize
 
 _SYLLABLES = "an er th re on in ti ou ea st or nd ha le mi ca de la be ch ei um ver zu qu ciu oso".split()
 
@@ -146,8 +146,10 @@ def measure(weights: dict[str, dict[str, float]], sentences: int = 300, seed: in
     right = made = there = 0
     for _ in range(sentences):
         text, entities = sentence(r)
-        tokens, seeds = tokenize(text)
-        found = {(k, tokens[i][0], tokens[j - 1][1]) for k, i, j in m.decode(text, tokens, seeds)}
+        decoder = Decoder(m)
+        decoder.feed(0, text, 0, len(text))
+        decoder.flush(last=True)
+        found = {x[1:] for x in decoder.found}
         right += len(found & set(entities))
         made += len(found)
         there += len(entities)
@@ -157,4 +159,4 @@ def measure(weights: dict[str, dict[str, float]], sentences: int = 300, seed: in
 if __name__ == "__main__":
     found = fit(say=print)
     print("precision, recall:", measure(found))
-    (Path(__file__).parent / "pii_weights.json").write_text(json.dumps(found, indent=0, sort_keys=True) + "\n")
+    (Path(__file__).parent / "pii_weights.json").write_text(json.dumps(found, sort_keys=True) + "\n")

@@ -6,8 +6,10 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from time import process_time
 
 import numpy as np
 import pytest
@@ -332,19 +334,57 @@ def test_pii_model(docs, nothing, spark):
     assert [r["text"] for r in sorted(masked)] == ["call <PHONE> now", None]
 
 
-def test_pii_windows_change_nothing():
+def plain_decode(text: str) -> list[tuple[str, int, int]]:
+    """The best segmentation over the whole text, segment by segment."""
+    crf = pii.model()
+    tokens, seeds = pii.tokenize(text)
+    best, back = [0.0] + [-np.inf] * len(tokens), [("", 0)] * (len(tokens) + 1)
+    candidates = crf.segments(text, tokens, seeds)
+    for j in range(1, len(tokens) + 1):
+        best[j], back[j] = best[j - 1], ("", j - 1)
+        for i, features in candidates[j]:
+            for kind in pii.TYPES:
+                if (s := best[i] + crf.score(kind, features)) > best[j]:
+                    best[j], back[j] = s, (kind, i)
+    out, j = [], len(tokens)
+    while j:
+        kind, i = back[j]
+        out += [(kind, tokens[i][0], tokens[j - 1][1])] if kind else []
+        j = i
+    return out[::-1]
+
+
+@pytest.mark.parametrize("block", [7, 64, 4096])
+def test_pii_decoder_matches_the_plain_one(block, monkeypatch):
     from asterism.llm import pii_train
 
+    monkeypatch.setattr(pii, "_BLOCK", block)
     r = random.Random(77)
-    for _ in range(40):
-        text = " ".join(pii_train.sentence(r)[0] + " lorem ipsum " * r.randint(0, 20) for _ in range(4))
-        tokens, seeds = pii.tokenize(text)
-        whole = {(k, tokens[i][0], tokens[j - 1][1]) for k, i, j in pii.model().decode(text, tokens, seeds)}
-        parts = set()
+    parts = ["a", "b.", "@", "@x", ".com", ".", "1", "12", "256", "0001", "4111111111111111", " ", "-", "+1", "(", ")", "%", "1.2.3.4", "x@y.z", "5500 0000 0000 0004", "+49 (30) 123-456", "\n", "[at]", " (at) ", "(\tat)", "_", "²", "٣", "deadbeef01234567", "  ", "\t", " lorem ipsum "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 50))) for _ in range(250)]
+    texts += [" ".join(pii_train.sentence(r)[0] + " lorem ipsum " * r.randint(0, 20) for _ in range(4)) for _ in range(30)]
+    decoder = pii.Decoder(pii.model())
+    for number, text in enumerate(texts):
         for a, b in pii.windows(text):
-            near, marks = pii.tokenize(text, a, b)
-            parts |= {(k, near[i][0], near[j - 1][1]) for k, i, j in pii.model().decode(text, near, marks)}
-        assert parts == whole
+            decoder.feed(number, text, a, b)
+    decoder.flush(last=True)
+    want = [(number, *s) for number, text in enumerate(texts) for s in plain_decode(text)]
+    assert decoder.found == want and len(want) > 300
+
+
+def test_pii_in_very_long_texts():
+    r = random.Random(9)
+    number = lambda: str(r.randint(0, 10 ** r.randint(1, 12)))
+    texts = {"hex": "".join(r.choice("0123456789abcdef") for _ in range(1_000_000)), "one token": "a1" * 500_000, "digits": "1 2" * 333_000, "numbers": " ".join(number() for _ in range(140_000)), "at signs": "a@" * 300_000, "plus signs": "+1(" * 300_000}
+    for text in texts.values():
+        took = process_time()
+        tracemalloc.start()
+        _, spans = pii.find(text[: len(text) // 10] + " mail jo.doe@example.com ")
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert ("email", len(text) // 10 + 6, len(text) // 10 + 23) in spans and peak < 60 << 20
+        pii.find(text)
+        assert process_time() - took < 120
 
 
 def test_sentencepieces(spark, docs, texts, nothing):
