@@ -1,15 +1,16 @@
 """Suffix arrays by induced sorting and permuted common prefixes, on numpy arrays.
 
-Induction goes through the buckets of first characters in order. Within a bucket all suffixes that are known are handled
-at once, so the work is linear in the text and a byte alphabet needs a few hundred array operations a pass.
+Induction goes through the buckets of first characters in order. Over bytes all suffixes of a bucket that are known are
+handled at once, so a pass needs a few hundred array operations. The names of a reduced string make buckets of a few
+suffixes, so there the same passes go suffix by suffix. Both are linear in the string, and recursion goes on until names
+are unique, however many there are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Reduced strings of at most so many names are induced bucket by bucket again; with more, buckets get too small for
-#: array operations and doubling finishes the names.
+#: Over alphabets up to this, induction handles whole buckets; over larger ones, suffixes one by one.
 BUCKETWISE = 1024
 
 
@@ -59,6 +60,8 @@ def _feed(text: np.ndarray, of_type: np.ndarray, queues: list[list[np.ndarray]],
 
 def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, alphabet: int) -> np.ndarray:
     """The suffix array from the leftmost-smaller suffixes in order; from any order of them, leftmost-smaller substrings get sorted."""
+    if alphabet > BUCKETWISE:
+        return _induce_each(text, smaller, lms, alphabet)
     larger = ~smaller
     seeds: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
     _push(seeds, lms, text[lms])
@@ -79,6 +82,38 @@ def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, alphabet: in
     return np.concatenate(out)
 
 
+def _induce_each(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, alphabet: int) -> np.ndarray:
+    """``_induce`` with one array of all suffixes, whose buckets fill from their heads, then from their tails."""
+    n = len(text)
+    text = text.astype(np.int64)
+    ends = np.cumsum(np.bincount(text, minlength=alphabet))
+    starts = np.concatenate([[0], ends[:-1]])
+    grouped = lms[np.argsort(text[lms], kind="stable")]
+    chars = text[grouped]
+    first = np.searchsorted(chars, chars)
+    held = np.bincount(chars, minlength=alphabet)
+    placed = np.full(n, -1, dtype=np.int64)
+    placed[ends[chars] - held[chars] + np.arange(len(grouped)) - first] = grouped
+    order = placed.tolist()
+    # the character of the suffix before, if it has the type of the pass; else, and for empty places (-1), -1
+    before = np.full(n + 1, -1, dtype=np.int64)
+    before[1:n] = np.where(smaller[: n - 1], -1, text[: n - 1])
+    heads, induced = starts.tolist(), before.tolist()
+    for j in order:
+        c = induced[j]
+        if c >= 0:
+            order[heads[c]] = j - 1
+            heads[c] += 1
+    before[1:n] = np.where(smaller[: n - 1], text[: n - 1], -1)
+    tails, induced = ends.tolist(), before.tolist()
+    for j in reversed(order):
+        c = induced[j]
+        if c >= 0:
+            tails[c] -= 1
+            order[tails[c]] = j - 1
+    return np.array(order, dtype=np.int32)
+
+
 def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the leftmost-smaller substrings in text order, and how many there are."""
     length = np.zeros(len(text), dtype=np.int32)
@@ -99,22 +134,6 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.n
     return name[lms], int(len(a) - same.sum()) + 1
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names by doubling the length that ranks stand for."""
-    n, rank, reach = len(names), names.astype(np.int64), 1
-    while True:
-        key = rank * (n + 1)
-        key[:-reach] += rank[reach:] + 1
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
-            return order
-        reach *= 2
-
-
 def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
     """Starts of the suffixes of ``text`` in order. The text ends with its only 0, and its values are below ``alphabet``."""
     n = len(text)
@@ -128,10 +147,8 @@ def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
     names, count = _names(text, lms, rough[is_lms[rough]])
     if count == len(lms):
         order = np.argsort(names)
-    elif count <= BUCKETWISE:
-        order = suffix_array(names.astype(np.uint16), count)
     else:
-        order = _doubled(names)
+        order = suffix_array(names, count)
     return _induce(text, smaller, lms[order], alphabet)
 
 

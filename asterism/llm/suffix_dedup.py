@@ -9,8 +9,10 @@ over all documents:
    counted by hash bucket; one that only one document has can't belong to a repeated passage.
 3. The other stretches go to shards by anchor, each text once a chunk with the smallest id that has it. Stretches of an
    anchor with very many of them go as single passages, dealt by their own hash, so no shard gathers them.
-4. A shard sorts the suffixes of its texts by induction, takes permuted common prefixes, and so finds the smallest id
-   that has each passage. It answers with a bit per passage.
+4. A shard sorts the suffixes of its different texts by induction, takes permuted common prefixes, and so finds the
+   smallest id that has each passage. A passage reaches at least half of its other bytes beyond one end of its anchor; a text that
+   is the only one with its anchor and the bytes on either side has nothing to be sorted against. The shard answers with
+   a bit per passage.
 5. Chunks meet their answers and cut the bytes out.
 
 Texts are compared only in suffix arrays; hashes just route them, so unequal passages never count as equal.
@@ -35,6 +37,8 @@ LENGTH = 50
 ANCHOR = 16
 #: Bytes of text for a chunk, for a bucket of anchors, and for a shard.
 CHUNK_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 16 << 20, 3 << 20
+#: Bytes of a shard's text that are sorted at once, but for an anchor that has more.
+SORT_BYTES = 128 << 10
 #: An anchor with more stretches than this is dealt out passage by passage.
 CROWD = 4096
 _BLOCK = 1 << 19
@@ -88,9 +92,9 @@ class Chunk:
             count = np.diff(np.concatenate([first, [len(at)]]))
             good = at[first] >= 0
             first, count = first[good], count[good]
-            parts.append((hashed[at[first]], first + a, count, doc[first]))
-        empty = (np.empty(0, dtype=_U), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
-        self.anchor, self.start, self.count, self.doc = (np.concatenate(x) for x in zip(*parts)) if parts else empty
+            parts.append((hashed[at[first]], first + a, count, doc[first], at[first] + a))
+        empty = (np.empty(0, dtype=_U), *[np.empty(0, dtype=np.int64)] * 4)
+        self.anchor, self.start, self.count, self.doc, self.place = (np.concatenate(x) for x in zip(*parts)) if parts else empty
 
     def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
         """Different anchors, each stretch's number among them, and their numbers by bucket."""
@@ -101,7 +105,9 @@ class Chunk:
     def shared(self, status: np.ndarray, inverse: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
         """Stretches whose anchors are shared, those of crowded anchors as single passages, and their different texts.
 
-        Gives starts, counts, documents and text numbers of the stretches, then for each text its first stretch and shard.
+        Gives starts, counts, documents and text numbers of the stretches, then for each text its first stretch, its
+        shard and a key: 32 bits of its anchor, 16 of the bytes from ``side`` before it and 16 of those to ``side`` behind
+        it, where the text has them. A single passage has a key of its own.
         """
         of = status[inverse]
         plain, crowded = np.flatnonzero(of == 1), np.flatnonzero(of == 2)
@@ -120,10 +126,19 @@ class Chunk:
         turn = np.argsort(doc, kind="stable")[::-1]
         first[number[turn]] = turn
         shard = ((anchor[first] >> _U(20)) % _U(shards)).astype(np.int64)
-        for u in np.flatnonzero(first >= len(plain)).tolist():
-            a = start[first[u]]
-            shard[u] = zlib.crc32(self.bytes[a : a + self.length]) % shards
-        return start, count, doc, number, first, shard
+        key = anchor[first] & _U(0xFFFFFFFF00000000)
+        side, place = (self.length - ANCHOR) // 2, np.concatenate([self.place[plain], np.zeros(int(many.sum()), dtype=np.int64)])
+        for u, f in enumerate(first.tolist()):
+            a = int(start[f])
+            if f >= len(plain):
+                whole = zlib.crc32(self.bytes[a : a + self.length])
+                shard[u], key[u] = whole % shards, whole << 32
+                continue
+            p, end = int(place[f]), a + int(count[f]) + self.length - 1
+            left = zlib.crc32(self.bytes[p - side : p + ANCHOR]) % 65535 + 1 if p - side >= a else 0
+            right = zlib.crc32(self.bytes[p : p + ANCHOR + side]) % 65535 + 1 if p + ANCHOR + side <= end else 0
+            key[u] |= _U(left << 16 | right)
+        return start, count, doc, number, first, shard, key
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:
@@ -132,6 +147,12 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _several(keys: np.ndarray) -> np.ndarray:
+    """Whether each key stands there more than once."""
+    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    return counts[inverse] > 1
+
+
 def _split(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Places by key, in order."""
     if not len(keys):
@@ -207,26 +228,26 @@ def _status(known: np.ndarray, groups: list[tuple[int, np.ndarray]], answers: di
     return status
 
 
-_SHARD_SCHEMA = "shard int, chunk int, kind int, counts binary, ids binary, text binary"
+_SHARD_SCHEMA = "shard int, chunk int, kind int, counts binary, ids binary, text binary, keys binary"
 
 
 def _send(length: int, buckets: int, shards: int):
     """Chunk and its anchors' bits -> per shard its texts with their smallest ids; and the bits once more, for the chunk itself."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, kinds = ["shard", "chunk", "kind", "counts", "ids", "text"], "iiibbb"
+        names, kinds = ["shard", "chunk", "kind", "counts", "ids", "text", "keys"], "iiibbbb"
         if not left.num_rows or not right.num_rows:
             return _table([], names, kinds)
         chunk, number = Chunk(left, length), left["__chunk"][0].as_py()
         known, inverse, groups = chunk.by_bucket(buckets)
         answers = dict(zip(right["bucket"].to_pylist(), zip(right["shared"].to_pylist(), right["crowded"].to_pylist())))
         status = _status(known, groups, answers)
-        start, count, doc, _, first, shard = chunk.shared(status, inverse, shards)
-        rows = [(number % shards, number, 1, _blob(np.packbits(status > 0)), _blob(np.packbits(status > 1)), b"")]
+        start, count, doc, _, first, shard, key = chunk.shared(status, inverse, shards)
+        rows = [(number % shards, number, 1, _blob(np.packbits(status > 0)), _blob(np.packbits(status > 1)), b"", b"")]
         for s, texts in _split(shard):
             k = first[texts]
             text = b"".join(chunk.bytes[a : a + n + length - 1] for a, n in zip(start[k].tolist(), count[k].tolist()))
-            rows.append((s, number, 0, _blob(count[k].astype("u1")), _blob(chunk.ids[doc[k]].astype("<i8")), text))
+            rows.append((s, number, 0, _blob(count[k].astype("u1")), _blob(chunk.ids[doc[k]].astype("<i8")), text, _blob(key[texts])))
         return _table(rows, names, kinds)
 
     return run
@@ -239,26 +260,39 @@ def _solve(length: int):
     """Shard -> per chunk a bit for each passage of its texts: whether a smaller id has it too. Rows of kind 1 pass through."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, jobs, known, numbers, owners = [], [], {}, [], []
-        for shard, chunk, kind, counts, ids, text in zip(*(c.to_pylist() for c in table.select(["shard", "chunk", "kind", "counts", "ids", "text"]).columns)):
+        rows, jobs, known, of = [], [], {}, []
+        for shard, chunk, kind, counts, ids, text, keys in zip(*(c.to_pylist() for c in table.select(["shard", "chunk", "kind", "counts", "ids", "text", "keys"]).columns)):
             if kind:
                 rows.append((chunk, shard, 1, counts, ids))
                 continue
             at, these = 0, []
             counts = np.frombuffer(counts, dtype="u1").astype(np.int64)
-            for n in counts.tolist():
+            for n, key in zip(counts.tolist(), np.frombuffer(keys, dtype="<u8").tolist()):
                 to = at + n + length - 1
-                these.append(known.setdefault(text[at:to], len(known)))
+                number = known.setdefault(text[at:to], len(known))
+                if number == len(of):
+                    of.append(key)
+                these.append(number)
                 at = to
             jobs.append((chunk, shard, counts, np.array(these), np.frombuffer(ids, dtype="<i8")))
-            numbers.append(these)
         if jobs:
             least = np.full(len(known), np.iinfo(np.int64).max)
             for _, _, _, these, ids in jobs:
                 np.minimum.at(least, these, ids)
-            owners = smallest_owners(list(known), least, length)
-            sizes = np.array([len(s) - length + 1 for s in known], dtype=np.int64)
+            texts = list(known)
+            sizes = np.array([len(s) - length + 1 for s in texts], dtype=np.int64)
             offset = np.cumsum(sizes) - sizes
+            owners = np.repeat(least, sizes)
+            key = np.array(of, dtype=_U)
+            group, left, right = key >> _U(32), (key >> _U(16)) & _U(0xFFFF), key & _U(0xFFFF)
+            met = np.flatnonzero((_several(group << _U(16) | left) & (left > 0)) | (_several(group << _U(16) | right) & (right > 0)))
+            met = met[np.argsort(group[met], kind="stable")]
+            # anchors are whole in a block; a block that the processor's caches hold is sorted fastest
+            block = np.cumsum(sizes[met] + length) // SORT_BYTES
+            block = np.maximum.accumulate(np.where(np.concatenate([[True], group[met][1:] != group[met][:-1]]), block, 0)) if len(met) else block
+            for part in np.split(met, np.flatnonzero(block[1:] != block[:-1]) + 1) if len(met) else ():
+                at = np.repeat(offset[part], sizes[part]) + _ramp(sizes[part])
+                owners[at] = smallest_owners([texts[k] for k in part.tolist()], least[part], length)
             for chunk, shard, counts, these, ids in jobs:
                 at = np.repeat(offset[these], counts) + _ramp(counts)
                 rows.append((chunk, shard, 0, _blob(np.packbits(owners[at] < np.repeat(ids, counts))), b""))
@@ -282,7 +316,7 @@ def _cut(length: int, shards: int, buckets: int, schema: pa.Schema, keep: list[s
                 status = sum(np.unpackbits(np.frombuffer(x, dtype="u1"), count=len(known)) for x in (a, b)).astype(np.int8)
             else:
                 bits[shard] = np.frombuffer(a, dtype="u1")
-        start, count, doc, number, first, shard = chunk.shared(status, inverse, shards)
+        start, count, doc, number, first, shard, _ = chunk.shared(status, inverse, shards)
         if len(start):
             offset, flags, at = np.empty(len(first), dtype=np.int64), [], 0
             for s, texts in _split(shard):
@@ -318,10 +352,10 @@ def _cut(length: int, shards: int, buckets: int, schema: pa.Schema, keep: list[s
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """Per input row: the columns ``keep`` (the id by default), n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` replaces the text by what is left.
 
-    A null text has no bytes and stays null. Rows with a null id are neither sources nor cut. Rows that share an id don't
+    A null text has no bytes and stays null. A very long text is one piece of a chunk, whose task holds it whole. Rows with a null id are neither sources nor cut. Rows that share an id don't
     count as repeats of each other. Characters whose bytes are cut in part are dropped from the returned text, not from
-    the digest. An empty input gives an empty result. A kept column
-    that has the name of a count stays and hides the count.
+    the digest. An empty input gives an empty result. A kept column that has the name of a count stays and hides the count;
+    other columns may have any name that doesn't start with two underscores.
     """
     spark, n = df.sparkSession, partitions(df.sparkSession)
     keep = [id_col] if keep is None else keep
