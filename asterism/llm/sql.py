@@ -46,9 +46,9 @@ FROM d LEFT JOIN base USING (rid) LEFT JOIN b USING (rid)
 
 
 OP5 = """
-WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),
+WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(x, lambda c: floor(64 * c)) AS v FROM d WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
-s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS cr, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND q.r <> c.r)
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS cr, CASE WHEN len(q.v) = 0 OR len(c.v) = 0 THEN 0 ELSE CAST(list_inner_product(q.v, c.v) AS BIGINT) END AS score FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND q.r <> c.r)
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, cr) AS k FROM s) WHERE k <= 20
 """

@@ -1,10 +1,11 @@
 """Exact top-k search by inner product with pivot-table elimination.
 
 Vectors of integers are lifted by one coordinate so that a larger inner product with a query means a smaller Euclidean
-distance. Distances of all vectors to many pivots are computed once; by the triangle inequality the largest difference
-between a query's and a candidate's pivot distances bounds their distance from below. Each query takes candidates in
-the order of their bounds and stops for good when no later bound can reach its k-th best score. Vectors meet in blocks
-of bounded size: each block of queries with each block of candidates.
+distance. Distances of all vectors to many pivots, which lie far apart, are computed once and stored with the vectors; by
+the triangle inequality the largest difference between a query's and a candidate's pivot distances bounds their distance
+from below. Each query takes candidates in the order of their bounds and stops for good when no later bound can reach its
+k-th best score, of those that it has seen or of a sample of candidates that every block of queries is compared with
+first. Vectors meet in blocks of bounded size: each block of queries with each block of candidates.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,46 +24,81 @@ SCALE = 64
 K = 20
 EVERY = 20
 PIVOTS = 48
-#: Vectors in a block of queries and of candidates.
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
+#: Vectors that pivots are chosen from and that give the first thresholds: a bound of what the driver holds.
+SAMPLE = 4096
+#: Vectors in a block of queries and of candidates, at most.
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 8192
 #: Candidates evaluated between two looks at the stopping rule.
 STEP = 256
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """Rows (id, v): v array<bigint> of floor(scale * x) with x as double; rows whose vector or id is null, or whose vector is empty or holds a null or non-finite component, are left out."""
+    """Rows (id, v): v array<bigint> of floor(scale * x) with x as double; rows whose vector or id is null, or whose vector holds a null or non-finite component, are left out. An empty vector scores 0 with any."""
     slim = df.select(F.col(id_col).cast("bigint").alias("id"), F.transform(F.col(vector_col), lambda c: c.cast("double")).alias("x"))
-    ok = F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda c: F.coalesce(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False)))
+    ok = F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: F.coalesce(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False)))
     return slim.where(ok).select("id", F.transform("x", lambda c: F.floor(scale * c).cast("bigint")).alias("v"))
 
 
-def search(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, pivots: np.ndarray, radius2: float, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+def far_apart(vectors: np.ndarray, count: int) -> np.ndarray:
+    """Places of up to ``count`` vectors, each the one farthest from those before it; equal vectors are taken once."""
+    if not len(vectors):
+        return np.empty(0, dtype=np.int64)
+    out, norms = [int(np.einsum("ij,ij->i", vectors, vectors).argmax())], np.einsum("ij,ij->i", vectors, vectors)
+    least = np.full(len(vectors), np.inf)
+    while len(out) < count:
+        least = np.minimum(least, norms + norms[out[-1]] - 2.0 * (vectors @ vectors[out[-1]]))
+        k = int(least.argmax())
+        if least[k] <= 0:
+            break
+        out.append(k)
+    return np.array(out)
+
+
+def pivot_table(vectors: np.ndarray, pivots: np.ndarray, radius2: float) -> np.ndarray:
+    """Distances in the lifted space, a row for each vector and a column for each pivot."""
+    lift = np.sqrt(np.maximum(radius2 - np.einsum("ij,ij->i", vectors, vectors), 0.0))
+    plift = np.sqrt(np.maximum(radius2 - np.einsum("ij,ij->i", pivots, pivots), 0.0))
+    return np.sqrt(np.maximum(radius2 + radius2 - 2.0 * (vectors @ pivots.T + lift[:, None] * plift[None, :]), 0.0))
+
+
+def thresholds(sample: np.ndarray, sample_rows: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """For each query a score that k vectors reach: its k-th best of the sample, its own row left out."""
+    out = np.full(len(query_rows), -np.inf)
+    if len(sample) > k:
+        for at in range(0, len(queries), STEP):
+            scores = (queries[at : at + STEP] @ sample.T).astype(np.float64)
+            scores[query_rows[at : at + STEP, None] == sample_rows[None, :]] = -np.inf
+            out[at : at + STEP] = np.partition(scores, -k, axis=1)[:, -k]
+    return out
+
+
+def search(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, table: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, pivots: np.ndarray, radius2: float, floors: np.ndarray | None = None, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """For each query, by its place: places and scores of its k best candidates of this block, and how many were evaluated.
 
-    Candidates are rows of ``vectors`` (float64 integers); ``radius2`` is at least every squared norm. A query passes over
-    the candidate that is its own row, ties go to smaller ids, then rows.
-    Floating-point distances get a slack that covers their rounding, so a candidate is only passed over if its exact
-    score is below the k-th best, never if it ties.
+    Vectors are integers, float64 where ``radius2``, which is at least every squared norm, is below 2**53 and int64 above;
+    so their products are exact. ``table`` has the candidates' distances to the pivots, ``floors`` scores that k rows are
+    known to reach. A query passes over the candidate that is its own row, ties go to smaller ids, then rows. Distances
+    get a slack that covers their rounding, so a candidate is only passed over if its exact score is below the k-th best,
+    never if it ties.
     """
-    lift = np.sqrt(np.maximum(radius2 - np.einsum("ij,ij->i", vectors, vectors), 0.0))
-    p2 = np.einsum("ij,ij->i", pivots, pivots)
-    norms = np.einsum("ij,ij->i", queries, queries)
-    plift = np.sqrt(np.maximum(radius2 - p2, 0.0))
+    real = queries.astype(np.float64)
+    norms = np.einsum("ij,ij->i", real, real)
     # squared distances in the lifted space; queries have 0 there
-    table = np.sqrt(np.maximum(radius2 + radius2 - 2.0 * (vectors @ pivots.T + lift[:, None] * plift[None, :]), 0.0))
-    asked = np.sqrt(np.maximum(norms[:, None] + radius2 - 2.0 * (queries @ pivots.T), 0.0))
+    asked = np.sqrt(np.maximum(norms[:, None] + radius2 - 2.0 * (real @ pivots.T), 0.0))
     slack = 1e-6 * np.sqrt(4.0 * radius2 + norms.max(initial=0.0)) + 1e-3  # over the error of two square roots near zero
+    rounding = 1e-3 + 1e-12 * radius2
     table = np.ascontiguousarray(table.T)
+    floors = np.full(len(query_rows), -np.inf) if floors is None else floors
     for q in range(len(query_rows)):
-        bound = np.abs(table[0] - asked[q, 0])
-        for j in range(1, len(table)):
+        bound = np.zeros(len(rows))
+        for j in range(len(table)):
             np.maximum(bound, np.abs(table[j] - asked[q, j]), out=bound)
         low = np.maximum(bound - slack, 0.0)
-        best = np.floor((norms[q] + radius2 - low * low) / 2.0 + 1e-3)  # no score is above
+        best = np.floor((norms[q] + radius2 - low * low) / 2.0 + rounding)  # no score is above
         order, done, step = np.argsort(-best, kind="stable"), 0, STEP
-        scores, found = np.empty(0), np.empty(0, dtype=np.int64)
+        scores, found = np.empty(0, dtype=vectors.dtype), np.empty(0, dtype=np.int64)
         while done < len(order):
-            if len(scores) >= k and best[order[done]] < scores[k - 1]:
+            if best[order[done]] < max(floors[q], scores[k - 1] if len(scores) >= k else -np.inf):
                 break
             take = order[done : done + step]
             done, step = done + len(take), 2 * step
@@ -76,47 +113,70 @@ def search(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, query_rows: n
 def _blocks(vectors: DataFrame, size: int, n: int, name: str) -> DataFrame:
     """Rows (name, name_ids, name_rows, name_flat) of about ``size`` vectors, dealt by a hash of the row number."""
     dealt = vectors.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n // size)))).cast("int"))
-    rows = dealt.groupBy(name).agg(F.collect_list(F.struct("id", "row", "v")).alias("rows"))
-    return rows.select(name, F.col("rows.id").alias(f"{name}_ids"), F.col("rows.row").alias(f"{name}_rows"), F.flatten("rows.v").alias(f"{name}_flat"))
+    rows = dealt.groupBy(name).agg(F.collect_list(F.struct("id", "row", "v", "d")).alias("rows"))
+    return rows.select(name, F.col("rows.id").alias(f"{name}_ids"), F.col("rows.row").alias(f"{name}_rows"), F.flatten("rows.v").alias(f"{name}_flat"), F.flatten("rows.d").alias(f"{name}_table"))
 
 
 def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", is_query: Column | None = None, k: int = K, pivots: int = PIVOTS, scale: int = SCALE) -> DataFrame:
     """Rows (query_id, rank, id, score, evaluated): each query row's k best other rows by integer inner product, ties to smaller ids.
 
     Queries are the rows where ``is_query`` (of column id) holds, by default those whose id is divisible by 20. Repeated
-    rows are rows of their own, also as queries. Vectors shorter than the longest are padded with zeros. Without a valid
-    vector or query the result is empty. Each block of candidates is sent to each block of queries, which an exact search
-    of all rows needs; the blocks are bounded, and a pair of blocks is a task's unit. Pivots are at most ``pivots`` rows,
-    chosen by a hash of their row number, and broadcast.
+    rows are rows of their own, also as queries. Vectors shorter than the longest, also empty ones, are padded with zeros.
+    Without a valid vector or query the result is empty; other columns may have any name. Each block of candidates is
+    sent to each block of queries, which an exact search of all rows needs where bounds don't tell; the blocks are
+    bounded, and a pair of blocks is a task's unit. A sample of at most ``SAMPLE`` rows, drawn by a hash of their number,
+    comes to the driver; at most ``pivots`` of it that lie far apart are the pivots, and all of it gives first thresholds.
+    A ValueError says that scores wouldn't fit a long.
     """
     spark = df.sparkSession
     vectors = materialize(integer_vectors(df, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + (x * x).cast("double"))
+    square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     asked = F.col("id") % EVERY == 0 if is_query is None else is_query
     n, width, radius2, n_asks = vectors.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(square), F.count_if(asked)).first()
     if not n_asks:
         return spark.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score bigint, evaluated bigint")
+    if radius2 >= 2.0**62:
+        raise ValueError("the largest inner product may not fit a long; use a smaller scale")
+    kind = np.float64 if radius2 < 2.0**53 else np.int64
     even = vectors.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("bigint"), F.lit(width) - F.size("v"))))
-    chosen = [r[0] for r in even.orderBy(F.xxhash64("row"), "row").limit(pivots).select("v").collect()]
-    base = spark.sparkContext.broadcast((np.array(chosen, dtype=np.float64), float(radius2)))
-    q, c = _blocks(even.where(asked), QUERY_BLOCK, n_asks, "q"), _blocks(even, CANDIDATE_BLOCK, n, "c")
+    drawn = even.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("row", "v").collect()
+    sample = np.array([r["v"] for r in drawn], dtype=np.int64).reshape(len(drawn), width)
+    chosen = sample[far_apart(sample.astype(np.float64), pivots)].astype(np.float64)
+    base = spark.sparkContext.broadcast((chosen, float(radius2), sample.astype(kind), np.array([r["row"] for r in drawn], dtype=np.int64)))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, r2, *_ = base.value
+        for batch in batches:
+            flat = pc.list_flatten(batch.column(2)).to_numpy(zero_copy_only=False).reshape(batch.num_rows, width).astype(np.float64)
+            far = pivot_table(flat, table, r2)
+            made = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * len(table), pa.array(far.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=["id", "row", "v", "d"])
+
+    far = materialize(even.select("id", "row", "v").mapInArrow(measure, "id bigint, row bigint, v array<bigint>, d array<double>"), "pivot-table")
+    n_query_blocks = -(-n_asks // QUERY_BLOCK)
+    # small tables are cut finer, so that every core has pairs
+    candidate_block = max(1, min(CANDIDATE_BLOCK, -(-n * n_query_blocks // (2 * partitions(spark)))))
+    q, c = _blocks(far.where(asked).withColumn("d", F.array().cast("array<double>")), QUERY_BLOCK, n_asks, "q"), _blocks(far, candidate_block, n, "c")
     every = lambda of, size: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-of // size)) - 1)))
     # dealt by the pair into a number of tasks that stays, since a pair is much work for few bytes
-    sent, asks = (x.repartition(partitions(spark), "q", "c") for x in (c.withColumn("q", every(n_asks, QUERY_BLOCK)), q.withColumn("c", every(n, CANDIDATE_BLOCK))))
-    names = ["q_ids", "q_rows", "q_flat", "c_ids", "c_rows", "c_flat"]
+    sent, asks = (x.repartition(partitions(spark), "q", "c") for x in (c.withColumn("q", every(n_asks, QUERY_BLOCK)), q.drop("q_table").withColumn("c", every(n, candidate_block))))
+    names = ["q_ids", "q_rows", "q_flat", "c_ids", "c_rows", "c_flat", "c_table"]
     schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("score", pa.int64()), ("evaluated", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, r2 = base.value
+        pivots, r2, known, known_rows = base.value
         for batch in batches:
             for at in range(batch.num_rows):
                 x = {name: batch.column(name)[at].values.to_numpy(zero_copy_only=False) for name in names}
-                cv = x["c_flat"].reshape(len(x["c_ids"]), -1).astype(np.float64)
-                qv = x["q_flat"].reshape(len(x["q_ids"]), -1).astype(np.float64)
-                for place, found, scores, done in search(x["c_ids"], x["c_rows"], cv, x["q_rows"], qv, table, r2, k):
+                cv = x["c_flat"].reshape(len(x["c_ids"]), width).astype(kind)
+                qv = x["q_flat"].reshape(len(x["q_ids"]), width).astype(kind)
+                floors = thresholds(known, known_rows, x["q_rows"], qv, k)
+                rows: list[list[np.ndarray]] = [[] for _ in schema]
+                for place, found, scores, done in search(x["c_ids"], x["c_rows"], cv, x["c_table"].reshape(len(cv), -1), x["q_rows"], qv, pivots, r2, floors, k):
                     same = np.ones(len(found), dtype=np.int64)
-                    columns = [same * x["q_rows"][place], same * x["q_ids"][place], x["c_ids"][found], x["c_rows"][found], scores, same * done]
-                    yield pa.RecordBatch.from_arrays([pa.array(y) for y in columns], schema=schema)
+                    for column, y in zip(rows, (same * x["q_rows"][place], same * x["q_ids"][place], x["c_ids"][found], x["c_rows"][found], scores, same * done)):
+                        column.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y).astype(np.int64)) for y in rows], schema=schema)
 
     found = sent.join(asks, ["q", "c"]).select(*names).mapInArrow(run, "query_row bigint, query_id bigint, id bigint, row bigint, score bigint, evaluated bigint")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row")

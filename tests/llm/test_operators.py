@@ -230,12 +230,13 @@ def test_top_k_matches_brute_force(spark, block, monkeypatch):
     rows = [(k, [r.choice([-1.0, 0.0, 0.5, r.uniform(-1, 1)]) for _ in range(5)]) for k in range(70)]
     rows += [(k, rows[20][1]) for k in range(70, 80)] + [(20, rows[20][1]), (81, None), (82, [1.0, None]), (83, [float("nan")]), (84, [float("inf")]), (85, []), (None, [1.0]), (100, [0.25])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    good = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want: Counter = Counter()
     for at, (q, v) in enumerate(good):
         if q % 20 == 0:
             scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for k, (i, w) in enumerate(good) if k != at)[:20]
             want += Counter((q, n + 1, i, -s) for n, (s, i) in enumerate(scored))
+    monkeypatch.setattr(topk, "SAMPLE", 25)
     found = topk.top_k(df, pivots=7)
     assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()) == want
     assert topk.top_k(df.where("false")).count() == 0
@@ -247,8 +248,21 @@ def test_pivots_eliminate_candidates():
     vectors = (centres[r.integers(0, 20, 3000)] + r.integers(-3, 4, (3000, 8))).astype(float)
     ids = np.arange(3000)
     radius2 = float((vectors**2).sum(axis=1).max())
-    seen = [done for *_, done in topk.search(ids, ids, vectors, ids[:10], vectors[:10], vectors[::60], radius2)]
-    assert sum(seen) < 0.7 * 10 * 3000
+    pivots = vectors[topk.far_apart(vectors[:500], 32)]
+    floors = topk.thresholds(vectors[:500], ids[:500], ids[:10], vectors[:10], 20)
+    seen = [done for *_, done in topk.search(ids, ids, vectors, topk.pivot_table(vectors, pivots, radius2), ids[:10], vectors[:10], pivots, radius2, floors)]
+    assert sum(seen) < 0.4 * 10 * 3000
+
+
+def test_top_k_of_large_components(spark):
+    """Products beyond 2**53 are exact; those that a long can't hold are refused."""
+    r = random.Random(2)
+    rows = [(k, [float(r.randint(-(1 << 24), 1 << 24)) for _ in range(4)]) for k in range(50)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = {(q, n + 1, i, -s) for q, v in rows if q % 20 == 0 for n, (s, i) in enumerate(sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w)), i) for i, w in rows if i != q)[:20])}
+    assert {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(df).collect()} == want
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(20, [1e9])], "vec_id bigint, embedding array<double>"))
 
 
 def test_sharding(docs, texts, nothing):
