@@ -73,11 +73,11 @@ def thresholds(sample: np.ndarray, sample_rows: np.ndarray, query_rows: np.ndarr
 
 
 def search(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, table: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, pivots: np.ndarray, radius2: float, floors: np.ndarray | None = None, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """For each query, by its place: places and scores of its k best candidates of this block, and how many were evaluated.
+    """For each query, by its place: places and scores of its candidates of this block that may be among its k best, and how many were evaluated.
 
     Vectors are integers, float64 where ``radius2``, which is at least every squared norm, is below 2**53 and int64 above;
     so their products are exact. ``table`` has the candidates' distances to the pivots, ``floors`` scores that k rows are
-    known to reach. A query passes over the candidate that is its own row, ties go to smaller ids, then rows. Distances
+    known to reach; what is below isn't among the best of all and is left out. A query passes over the candidate that is its own row, ties go to smaller ids, then rows. Distances
     get a slack that covers their rounding, so a candidate is only passed over if its exact score is below the k-th best,
     never if it ties.
     """
@@ -107,7 +107,8 @@ def search(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, table: np.nda
             found = np.concatenate([found, take])
             rank = np.lexsort((rows[found], ids[found], -scores))[:k]
             scores, found = scores[rank], found[rank]
-        yield q, found, scores.astype(np.int64), done
+        reached = scores >= floors[q]
+        yield q, found[reached], scores[reached].astype(np.int64), done
 
 
 def _blocks(vectors: DataFrame, size: int, n: int, name: str) -> DataFrame:
