@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, partitions, scratch_path
 
 #: Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -30,6 +30,8 @@ ARCHIVE_BYTES = 16 << 20
 #: The dictionary's size, and the bound of the records it is trained on, spread over the archive.
 DICTIONARY_BYTES, TRAINING_BYTES = 64 << 10, 4 << 20
 LEVEL = 6
+#: Compressed bytes of archives that a reading task takes.
+TASK_BYTES = 256 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 _FEED = 16 << 10
@@ -160,7 +162,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 def read(manifest: DataFrame, path: str) -> DataFrame:
     """Rows (page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of the archives in a manifest; a revisit's payload is null.
 
-    Digests of stored payloads are computed anew and must equal the header's.
+    Digests of stored payloads are computed anew and must equal the header's. A task reads one archive after another, of
+    ``TASK_BYTES`` in all where there are many; very long payloads are whole in memory with their archive.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
@@ -191,7 +194,9 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    spread = manifest.select("file").repartition(max(1, manifest.count()))
+    files, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(files, max(partitions(manifest.sparkSession), -(-size // TASK_BYTES))))
+    spread = manifest.select("file").repartition(tasks)
     return spread.mapInArrow(run, "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary")
 
 
