@@ -33,7 +33,7 @@ g AS (SELECT rid, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT rid, w, un
 v AS (SELECT rid, template, label, phrase, grams, pos - pl AS diagonal, pl FROM g JOIN tpl USING (a, b)),
 x AS (SELECT rid, template, label, phrase, grams, diagonal, count(*) AS n, min(pl) AS lo, max(pl) AS hi FROM v GROUP BY ALL),
 base AS (SELECT rid, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word FROM x WHERE phrase AND n = grams GROUP BY rid),
-i0 AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {licenses.DRIFT} THEN 0 ELSE 1 END AS fresh FROM x WHERE NOT phrase),
+i0 AS (SELECT *, CASE WHEN grams >= {licenses.SHORT} AND diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {licenses.DRIFT} THEN 0 ELSE 1 END AS fresh FROM x WHERE NOT phrase),
 i1 AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS island FROM i0),
 i2 AS (SELECT i1.rid, i1.template, i1.label, i1.grams, island, count(DISTINCT v.pl) AS n, min(v.diagonal + v.pl) AS lo, max(v.diagonal + v.pl + 2) AS hi
        FROM i1 JOIN v ON v.rid = i1.rid AND v.template = i1.template AND v.diagonal = i1.diagonal GROUP BY ALL),

@@ -12,6 +12,7 @@ from collections import Counter
 from time import process_time
 
 import numpy as np
+import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
@@ -19,7 +20,6 @@ from tokenizers import Tokenizer
 
 from asterism.llm import licenses, packing, pii, quality, sentencepieces, sharding, simhash, suffix, suffix_dedup, topk, warc
 from asterism.llm.components import components
-from asterism.llm.queries import TOKENIZERS
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 
@@ -118,11 +118,12 @@ def test_license_scan(docs, texts, nothing, spark):
     assert licenses.scan(nothing).count() == 0
     notice = licenses.NOTICES["gpl-3.0"][1]
     broken = notice.replace("published", "ever published").replace("terms of", "terms and conditions of")
-    odd = [(1, f"x y {broken} z"), (2, "GNU General Public Library License"), (3, "KİT mİt license MİT License"), (4, "This is licensed under CC BY-NC 4.0.")]
+    odd = [(1, f"x y {broken} z"), (2, "GNU General Public Library License"), (3, "KİT mİt license MİT License"), (4, "This is licensed under CC BY-NC 4.0."), (5, "Released under the MIT License (MIT License)"), (6, f"{licenses.NOTICES['mit-notice'][1]} {licenses.NOTICES['zlib'][0]}")]
     rows = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(odd, "doc_id bigint, text string")).collect()}
     assert rows[1]["labels"].split(",") == ["gpl", "gpl-3.0"] and rows[1]["score"] == 1.0
     assert rows[2]["labels"] == "" and rows[3]["n_base"] == 0
     assert rows[4]["labels"] == "cc-by-nc" and rows[4]["base_labels"] == ""
+    assert rows[5]["labels"] == "mit,mit-notice" and rows[5]["n_base"] == 2 and rows[6]["labels"] == "mit-notice,zlib"
 
 
 def plain_repeats(rows: list[tuple[int | None, str | None]]) -> Counter:
@@ -189,7 +190,7 @@ def test_suffix_arrays_recurse_on_names(monkeypatch):
 
 
 def test_packing(spark, docs, texts, nothing):
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    path = public_tokenizers.path("byte_bpe_50k.json")
     odd = spark.createDataFrame([(90, "a<|endoftext|>b"), (91, " \n x  y\x1c z 　w")], "doc_id bigint, text string")
     given = docs.select("doc_id", "text").union(odd)
     rows = packing.pack(given, path, keep_ids=True).collect()
@@ -415,7 +416,7 @@ def test_pii_in_very_long_texts():
 
 
 def test_sentencepieces(spark, docs, texts, nothing):
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    path = public_tokenizers.path("piece_bpe_32k.model")
     exact = sentencepiece.SentencePieceProcessor(model_file=path)
     with open(path, "rb") as f:
         codec = sentencepieces.Codec(sentencepieces.tables(f.read()))

@@ -7,12 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from asterism.llm import packing, pii
-from asterism.llm.queries import TOKENIZERS
 
 from test_operators import groups_of, plain_fingerprint, plain_quality, words
 
@@ -73,7 +73,7 @@ def plain_pipeline(rows) -> dict[int, str]:
 
 def test_pipeline_matches_the_plain_version(spark, corpus):
     path, rows = corpus
-    exact = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = Counter()
     for i, t in plain_pipeline(rows).items():
         ids = exact.encode(t, add_special_tokens=False).ids + [0]
