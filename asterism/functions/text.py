@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words whose affect (evaluation, potency, activity) is known, in tenths, so that sums are exact. Fixed values.
-AFFECT = {"the": (1, 0, 0), "and": (0, 1, 0), "with": (2, 0, 1), "of": (0, -1, 0), "for": (1, 1, 1), "from": (-1, 0, 1), "this": (0, 0, 2), "that": (0, 0, -2)}
-#: The reference's words of affect (evaluation, potency, activity), in tenths, so that sums are exact. Fixed values.
+#: Words of affect (evaluation, potency, activity), in tenths, so that sums are exact. Fixed values.
 LEXICON = {
     "capable": (5, 0, 0), "reliable": (5, 0, 0), "solid": (4, 2, 0), "robust": (5, 3, 0), "polished": (4, 0, 0), "excellent": (7, 0, 0),
     "strong": (5, 4, 0), "impressive": (6, 2, 0), "state-of-the-art": (7, 3, 0), "sota": (7, 3, 0), "leading": (5, 3, 0), "frontier": (6, 5, 0),
@@ -22,9 +20,10 @@ LEXICON = {
     "specialized": (3, 0, 0), "general": (2, 2, 0), "generalist": (2, 3, 0),
 }
 
+
 def html_to_text(html: Column) -> Column:
     """Readable text: scripts, styles and page furniture go, block tags break lines, entities are decoded, blanks collapse."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer)[^>]*>.*?</(script|style|nav|header|footer)>", " ")
+    out = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer)[^>]*>.*?</\1>", " ")
     out = F.regexp_replace(out, r"(?i)</?(p|div|br|li|tr|h[1-6]|ul|ol|table|section|article)[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[^>]+>", "")
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
@@ -33,9 +32,16 @@ def html_to_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+#: Words of a text that say nothing about it. Fixed values.
+STOP_WORDS = (
+    "a an the is are was were be been being have has had do does did will would could should may might can shall for and but or nor not no so yet both either neither each every all any few more most other some such than too very just "
+    "about above after again also at before between by down during from in into of on out over then there through to under up with that this these those i me my we our you your it its model models"
+).split()
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters, digits, underscores, dots and hyphens of two characters and more."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_.-]+)"), 1), lambda t: F.length(t) > 1)
+    """Lower-case runs of ASCII letters, digits, underscores, dots and hyphens of two characters and more, without stop words."""
+    return F.filter(F.regexp_extract_all(text, F.lit(r"([a-z0-9_.-]+)"), 1), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 def host(url: Column) -> Column:
@@ -64,28 +70,12 @@ def popularity(likes: Column, downloads: Column) -> Column:
     return 2 * F.log1p(likes.cast("double")) + 0.5 * F.log1p(downloads.cast("double"))
 
 
-def _adder(table: Column):
-    return lambda total, word: total + F.element_at(table, word)
-
-
-def affect(text: Column) -> list[Column]:
-    """Evaluation, potency and activity: sums over known words, clipped to -1..1; null without a known word."""
-    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w.isin(*AFFECT))
-    hits = F.size(words)
-    out = []
-    for axis in range(3):
-        table = F.create_map(*[x for w, v in AFFECT.items() for x in (F.lit(w), F.lit(v[axis]))])
-        total = F.aggregate(words, F.lit(0), _adder(table))
-        out.append(F.when(hits > 0, F.greatest(F.lit(-10), F.least(F.lit(10), total)) / 10.0))
-    return out
-
-
 def _getter(axis: int):
     return lambda values: values[axis]
 
 
 def epa(text: Column) -> list[Column]:
-    """Evaluation, potency and activity as the reference has them: its lexicon over tokens that keep hyphens, sums clipped to -1..1; null without a known word."""
+    """Evaluation, potency and activity from the lexicon over tokens that keep hyphens, sums clipped to -1..1; null without a known word."""
     table = F.create_map(*[x for w, v in LEXICON.items() for x in (F.lit(w), F.array(*map(F.lit, v)))])
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9-]+)"), 1), lambda w: w.isin(*LEXICON))
     hits = F.transform(words, lambda w: F.element_at(table, w))
@@ -96,17 +86,11 @@ def epa(text: Column) -> list[Column]:
     return out
 
 
-def card_quality(text: Column) -> Column:
-    """The share of six signs of a complete description: length, paragraphs, headings, lists or tables, links, numbers."""
-    signs = [F.length(text) > 500, text.contains("\n"), text.rlike("[A-Z][a-z]+"), text.contains("|"), text.contains("http"), text.rlike("[0-9]")]
-    return F.round(sum((s.cast("int") for s in signs), F.lit(0)) / 6.0, 2)
-
-
-#: Headings of the reference's six sections of a complete card: description, usage, training, evaluation, limitations, license.
+#: Headings of the six sections of a complete card: description, usage, training, evaluation, limitations, license.
 SECTIONS = ("description|about|overview|introduction", "usage|how to use|getting started|quick start", "training|fine-?tuning|methodology", "evaluation|benchmark|results|performance", "limitation|bias|risk|ethical", "license|citation|acknowledgment")
 
 
-def card_sections(text: Column) -> Column:
+def card_quality(text: Column) -> Column:
     """The share of the six sections that a card has a heading of; 0 without text."""
     found = sum((F.coalesce(text.rlike(rf"(?i)##?\s*(?:{names})"), F.lit(False)).cast("int") for names in SECTIONS), F.lit(0))
     return F.round(found / 6.0, 2)

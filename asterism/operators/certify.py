@@ -40,29 +40,39 @@ def check_rules(rules: tuple[Rule, ...]) -> None:
         raise ValueError("rules contradict themselves or share a name")
 
 
-def fired(net: Network, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Rows (model_id, rule, tier, requires, forbids) of the rules that a model's facts trigger."""
+def fired_over(facts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rows (model_id, rule, tier, requires, forbids) of the rules that rows of facts trigger."""
     check_rules(rules)
     made = F.array(*[F.when(r.trigger(), F.struct(F.lit(r.name).alias("rule"), F.lit(r.tier).alias("tier"), F.array(*map(F.lit, r.requires)).cast("array<string>").alias("requires"), F.array(*map(F.lit, r.forbids)).cast("array<string>").alias("forbids"))) for r in rules])
-    return net.facts.select("model_id", F.explode(made).alias("r")).where("r is not null").select("model_id", "r.*")
+    return facts.select("model_id", F.explode(made).alias("r")).where("r is not null").select("model_id", "r.*")
 
 
-def certify(net: Network, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """A verdict per emitted label, and AUTO_ADDED rows for required labels that are missing.
+def fired(net: Network, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rows (model_id, rule, tier, requires, forbids) of the rules that a model's facts trigger."""
+    return fired_over(net.facts, rules)
 
-    The most severe rule that forbids a label decides: REJECTED, DEMOTED (half the confidence) or WARNING; others are
-    CERTIFIED. A required label is added even if another rule forbids it.
+
+def verdicts_of(on: DataFrame, emissions: DataFrame) -> DataFrame:
+    """A verdict for each emission (model_id, label, confidence, trusted), and AUTO_ADDED rows for required labels that are missing.
+
+    The most severe rule that forbids a label decides: REJECTED, but WARNING where the emission is trusted; DEMOTED (half
+    the confidence); or WARNING. Others are CERTIFIED. A required label is added by rules of any tier, even if another
+    rule forbids it.
     """
-    on = fired(net, rules)
     worst = on.select("model_id", "tier", F.explode("forbids").alias("label")).groupBy("model_id", "label").agg(F.min("tier").alias("tier"))
-    judged = net.model_anchors.join(worst, ["model_id", "label"], "left")
-    verdict = F.when(F.col("tier") == 1, "REJECTED").when(F.col("tier") == 2, "DEMOTED").when(F.col("tier") == 3, "WARNING").otherwise("CERTIFIED")
+    judged = emissions.join(worst, ["model_id", "label"], "left")
+    verdict = F.when((F.col("tier") == 1) & ~F.col("trusted"), "REJECTED").when(F.col("tier") == 2, "DEMOTED").when(F.col("tier").isNotNull(), "WARNING").otherwise("CERTIFIED")
     kept = judged.select("model_id", "label", verdict.alias("verdict"), F.when(F.col("tier") == 2, F.col("confidence") * 0.5).otherwise(F.col("confidence")).alias("confidence"))
-    wanted = on.where("tier = 1").select("model_id", F.explode("requires").alias("label")).distinct()
-    added = wanted.join(net.model_anchors, ["model_id", "label"], "left_anti").select("model_id", "label", F.lit("AUTO_ADDED").alias("verdict"), F.lit(1.0).alias("confidence"))
+    wanted = on.select("model_id", F.explode("requires").alias("label")).distinct()
+    added = wanted.join(emissions, ["model_id", "label"], "left_anti").select("model_id", "label", F.lit("AUTO_ADDED").alias("verdict"), F.lit(1.0).alias("confidence"))
     return kept.union(added)
 
 
+def certify(net: Network, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The verdicts on a network's labels."""
+    return verdicts_of(fired(net, rules), net.model_anchors.select("model_id", "label", "confidence", F.lit(False).alias("trusted")))
+
+
 def certification_score(verdicts: DataFrame) -> DataFrame:
     """1 less the share of rejected labels and half that of demoted ones, at least 0."""
     emitted = verdicts.where("verdict <> 'AUTO_ADDED'").groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "REJECTED").alias("drops"), F.count_if(F.col("verdict") == "DEMOTED").alias("demotes"))

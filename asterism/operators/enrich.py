@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ..network import Network
 
-#: Names of benchmarks that tables are searched for. Fixed values.
-BENCHMARKS = ("mmlu", "humaneval", "gsm8k", "hellaswag", "arc", "truthfulqa", "winogrande")
+#: Words of the header of a table of benchmarks, as a pattern. Fixed value.
+BENCHMARK_WORDS = "benchmark|eval|score|accuracy|perplexity|mmlu|hellaswag|winogrande|arc|gsm8k|truthfulqa|humaneval"
 #: Scores from which a benchmark earns a label. Fixed values.
 BENCHMARK_LABELS = {"mmlu": (70.0, "high-mmlu"), "humaneval": (40.0, "strong-humaneval"), "gsm8k": (60.0, "strong-gsm8k")}
 
-#: Words of evaluation that the reference counts in paragraphs, as it spells them ("SOTA" never occurs in lower case). Fixed values.
+#: Words of evaluation that are counted in paragraphs, as they are spelt there ("SOTA" never occurs in lower case). Fixed values.
 EVALUATIVE = ("excellent", "outstanding", "poor", "mediocre", "benchmark", "compared to", "better than", "worse than", "outperforms", "evaluation", "results", "score", "accuracy", "performance", "beats",
               "state-of-the-art", "SOTA", "leaderboard", "fine-tuned", "trained on", "capabilities", "limitations", "mmlu", "humaneval", "gsm8k", "hellaswag", "arc")
 
@@ -34,30 +34,26 @@ def clean_card(card: Column, limit: int = 2000) -> Column:
     return F.substring(F.trim(F.regexp_replace(out, r"\s+", " ")), 1, limit)
 
 
-def paragraph_score(paragraph: Column, name: Column) -> Column:
-    """Half for the name, 0.3 for words of evaluation, 0.2 for a fair length."""
-    low = F.lower(paragraph)
-    words = F.lit(False)
-    for w in ("benchmark", "accuracy", "evaluation", "score", "performance"):
-        words = words | low.contains(w)
-    return 0.5 * F.coalesce(low.contains(F.lower(name)), F.lit(False)).cast("int") + 0.3 * words.cast("int") + 0.2 * F.length(paragraph).between(100, 1500).cast("int")
+def paragraph_scores(text: Column, name: Column) -> Column:
+    """Array of (i, n, points): each paragraph of 30 characters and more by its place, length and score in multiples of 1/2500.
 
-
-def best_paragraphs(text: Column, name: Column, budget: int = 8000) -> Column:
-    """(paragraphs, chars) of the best paragraphs until the first that would overflow the budget, as the reference takes them.
-
-    A paragraph of 30 characters or more scores 0.5 a part of the name in it, 0.3 a word of evaluation and up to 0.2 for 500
-    characters, here in multiples of 1/2500; of equal scores the earlier goes first. Null texts have none.
+    A paragraph scores 0.5 a part of the name in it, 0.3 a word of evaluation and up to 0.2 for 500 characters. Null texts
+    have none.
     """
     parts = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"[/\s-]+"), lambda t: F.length(t) > 2))
 
     def scored(p: Column, i: Column) -> Column:
         low, n = F.lower(p), F.length(p)
         words = sum((low.contains(w).cast("int") for w in EVALUATIVE), F.lit(0))
-        return F.struct((-(1250 * F.size(F.filter(parts, lambda t: low.contains(t))) + 750 * words + F.least(n, F.lit(500)))).alias("order"), i.alias("i"), n.alias("n"))
+        return F.struct(i.alias("i"), n.alias("n"), (1250 * F.size(F.filter(parts, lambda t: low.contains(t))) + 750 * words + F.least(n, F.lit(500))).alias("points"))
 
     stripped = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), lambda p: F.trim(p, F.lit(" \t\n\r\x0b\x0c")))
-    ranked = F.array_sort(F.filter(F.transform(stripped, scored), lambda x: x["n"] >= 30))
+    return F.filter(F.transform(stripped, scored), lambda x: x["n"] >= 30)
+
+
+def best_paragraphs(text: Column, name: Column, budget: int = 8000) -> Column:
+    """(paragraphs, chars) of the best paragraphs until the first that would overflow the budget; of equal scores the earlier goes first."""
+    ranked = F.array_sort(F.transform(paragraph_scores(text, name), lambda x: F.struct((-x["points"]).alias("order"), x["i"].alias("i"), x["n"].alias("n"))))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(True).alias("more"))
 
     def take(t: Column, x: Column) -> Column:
@@ -68,20 +64,29 @@ def best_paragraphs(text: Column, name: Column, budget: int = 8000) -> Column:
 
 
 def benchmark_rows(cards: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, benchmark, value) from table rows of descriptions: a known name in the first cell and the first number behind it."""
-    lines = cards.select(key, F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").contains("|"))
-    cells = F.filter(F.transform(F.split("line", r"\|"), lambda c: F.lower(F.trim(c))), lambda c: c != "")
-    parsed = lines.select(key, cells.alias("c")).where(F.size("c") >= 2)
-    name = F.get(F.filter(F.array(*map(F.lit, BENCHMARKS)), lambda b: F.get(F.col("c"), 0).startswith(b)), F.lit(0))
-    value = F.get(F.filter(F.transform(F.slice("c", 2, 100), lambda x: F.regexp_extract(x, r"^([0-9]+(?:\.[0-9]+)?) ?%?$", 1).try_cast("double")), lambda v: v.isNotNull()), F.lit(0))
-    found = parsed.select(key, name.alias("benchmark"), value.alias("value")).where("benchmark is not null and value between 0 and 100")
-    return found.groupBy(key, "benchmark").agg(F.max("value").alias("value"))
+    """(key, benchmark, score) from the tables of descriptions whose header has a word of benchmarks; the last row of a name counts.
+
+    A table is a run of rows with a header and a rule of dashes below it; the name is the first cell, with hyphens for
+    blanks, and the score the first cell behind it that has a digit.
+    """
+    lines = cards.where(F.col(text).contains("|")).select(key, F.posexplode(F.split(text, "\n")).alias("i", "line")).where(F.col("line").rlike(r"^\s*\|.+\|\s*$"))
+    runs = lines.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(key).orderBy("i")))
+    of = Window.partitionBy(key, "run").orderBy("i")
+    ruled = F.lead(F.col("line").rlike(r"^\s*\|[-:\s|]+\|\s*$") & F.col("line").contains("-")).over(of)
+    headed = runs.withColumn("head", F.when(F.coalesce(ruled, F.lit(False)) & F.lower("line").rlike(BENCHMARK_WORDS), F.col("i")))
+    body = headed.withColumn("first", F.min("head").over(Window.partitionBy(key, "run"))).where(F.col("i") >= F.col("first") + 2)
+    inner = F.regexp_extract("line", r"^\s*\|(.+)\|\s*$", 1)
+    cells = body.select(key, "i", F.transform(F.split(inner, r"\|"), lambda c: F.trim(c, F.lit(" \t\r"))).alias("c"))
+    score = F.get(F.filter(F.slice("c", F.lit(2), F.size("c")), lambda x: x.rlike("[0-9]")), F.lit(0))
+    found = cells.select(key, "i", F.replace(F.lower(F.get("c", F.lit(0))), F.lit(" "), F.lit("-")).alias("benchmark"), score.alias("score")).where("benchmark <> '' and score is not null")
+    return found.groupBy(key, "benchmark").agg(F.max_by("score", "i").alias("score"))
 
 
 def benchmark_labels(rows: DataFrame, key: str) -> DataFrame:
-    out = F.lit(None).cast("string")
+    """Labels that scores earn: the first number in a score against the benchmark's least."""
+    out, value = F.lit(None).cast("string"), F.regexp_extract("score", r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
     for name, (least, label) in BENCHMARK_LABELS.items():
-        out = F.when((F.col("benchmark") == name) & (F.col("value") >= least), label).otherwise(out)
+        out = F.when((F.col("benchmark") == name) & (value >= least), label).otherwise(out)
     return rows.select(key, out.alias("label")).where("label is not null")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..network import Network
 from ..schema import BANKS
+from .extract import SIZES, bucket
 
 
 def parse_lines(lines: DataFrame, schema: str, required: str | None) -> DataFrame:
@@ -26,9 +27,13 @@ def latest_wins(current: DataFrame, changes: DataFrame, keys: list[str], order:
     return both.withColumn("__k", rank).where("__k = 1").drop("__k", "__new")
 
 
-def reconcile(current: DataFrame, items: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """What each incoming item does: insert, patch of a field (old and new value) or unchanged; repeated items once."""
-    once = items.select(key, *fields).distinct()
+def reconcile(current: DataFrame, items: DataFrame, key: str, fields: list[str], order: str | None = None) -> DataFrame:
+    """What each incoming item does: insert, patch of a field (old and new value) or unchanged; of a key's items the last counts.
+
+    The last is that with the largest ``order``, a column of the items, or else the largest values.
+    """
+    last = F.max(F.struct(*([F.col(order).alias("__order")] if order else []), *fields)).alias("x")
+    once = items.groupBy(key).agg(last).select(key, *[F.col(f"x.{f}").alias(f) for f in fields])
     old = current.select(key, *[F.col(f).alias(f"old_{f}") for f in fields], F.lit(True).alias("known"))
     joined = once.join(old, key, "left")
     changes = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"old_{f}").cast("string").alias("old_value"), F.col(f).cast("string").alias("new_value")) for f in fields])
@@ -66,16 +71,23 @@ def merge_outcomes(net: Network, found: DataFrame) -> DataFrame:
     return joined.select("model_id", "label", outcome.alias("outcome"))
 
 
-def keep_best_tier(net: Network, bank: str = "EFFICIENCY") -> DataFrame:
-    """Labels of a bank to delete so that each model keeps its highest one."""
-    rank = F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc("label")))
-    return net.model_anchors.where(F.col("bank") == bank).withColumn("k", rank).where("k > 1").select("model_id", "label")
+#: Families of labels of which a model keeps one, from the smallest tier to the largest. Fixed values.
+CONTEXT_TIERS = ("long-context-32k", "long-context-128k", "long-context-1m")
+SIZE_TIERS = tuple(size[4] for size in SIZES)
 
 
-def expansion_matches(net: Network) -> DataFrame:
-    """Labels that rules of conditions would link: all conditions, or at least so many of them."""
-    tag = (F.col("word1").isin("red", "blue")).cast("int") + (F.col("p_type") == "PROMO").cast("int") + F.col("p_name").rlike("^[a-m]").cast("int")
-    return net.facts.where(tag >= 2).select("model_id", F.lit("showcase").alias("label"), F.lit(0.7).alias("confidence"))
+def keep_best_tier(labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (model_id, label) to delete so that each model keeps one label of a family.
+
+    ``labels`` has (model_id, label), ``sizes`` (model_id, params_b). Of context tiers the largest stays; of size classes
+    that of the known size if the model has it, else the largest. Labels of no family stay.
+    """
+    tier = F.create_map(*[F.lit(x) for family, names in (("context", CONTEXT_TIERS), ("size", SIZE_TIERS)) for k, name in enumerate(names) for x in (name, f"{family}:{k:02d}")])
+    ranked = labels.select("model_id", "label").distinct().withColumn("tier", F.element_at(tier, F.col("label"))).where("tier is not null")
+    known = sizes.where("params_b is not null").select("model_id", bucket(F.col("params_b"), 4).alias("best"))
+    keyed = ranked.join(known, "model_id", "left").withColumn("family", F.substring_index("tier", ":", 1))
+    order = Window.partitionBy("model_id", "family").orderBy(F.desc(F.coalesce((F.col("label") == F.col("best")), F.lit(False))), F.desc("tier"))
+    return keyed.withColumn("k", F.row_number().over(order)).where("k > 1").select("model_id", "label")
 
 
 def healing_candidates(net: Network, findings: DataFrame, budget: int, seed: str = "heal") -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import fuzzy, text
 from ..network import Network, from_driver
 from ..operators import certify, extract, filters, graph, navigate, records, search, stats
 from ..schema import Query
+from ..sources import files
 from ..streaming import events
 from .prelude import on_network
 
@@ -402,7 +403,7 @@ def _(net: Network) -> DataFrame:
 
 def _html_sql() -> str:
     out = "html"
-    steps = [(r"(?is)<(script|style|nav|header|footer)[^>]*>.*?</(script|style|nav|header|footer)>", "' '"), (r"(?i)</?(p|div|br|li|tr|h[1-6]|ul|ol|table|section|article)[^>]*>", "chr(10)"), (r"<[^>]+>", "''")]
+    steps = [*[(rf"(?is)<{t}[^>]*>.*?</{t}>", "' '") for t in ("script", "style", "nav", "header", "footer")], (r"(?i)</?(p|div|br|li|tr|h[1-6]|ul|ol|table|section|article)[^>]*>", "chr(10)"), (r"<[^>]+>", "''")]
     for pattern, by in steps:
         out = f"regexp_replace({out}, '{pattern}', {by}, 'g')"
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
@@ -421,44 +422,26 @@ def _(table) -> DataFrame:
     return table("pages").select("page_id", text.host(F.col("url")).alias("host"), text.allowed_host(F.col("url"), ("example.com",)).alias("allowed"))
 
 
-@plan("token_counts", "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-z0-9_.-]+'), lambda t: length(t) > 1)) AS INT) AS tokens FROM documents WHERE lang = 'en'", network=False)
-def _(table) -> DataFrame:
-    return table("documents").where("lang = 'en'").select("doc_id", F.size(text.tokens(F.col("text"))).alias("tokens"))
-
-
-@plan("token_counts_all", f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[a-z0-9_.-]+'), lambda t: length(t) > 1)) AS INT) AS tokens FROM documents", network=False)
-def _(table) -> DataFrame:
-    folded = F.translate("text", ascii_uppercase, ascii_lowercase)
-    return table("documents").select("doc_id", F.size(text.tokens(folded)).alias("tokens"))
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
-@plan("card_quality", "SELECT doc_id, round(((length(text) > 500)::INT + contains(text, chr(10))::INT + regexp_matches(text, '[A-Z][a-z]+')::INT + contains(text, '|')::INT + contains(text, 'http')::INT + regexp_matches(text, '[0-9]')::INT) / 6.0::DOUBLE, 2) AS quality FROM documents", network=False)
+@plan("token_counts", f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[a-z0-9_.-]+'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))) AS INT) AS tokens FROM documents", network=False)
 def _(table) -> DataFrame:
-    return table("documents").select("doc_id", text.card_quality(F.col("text")).alias("quality"))
+    return table("documents").select("doc_id", F.size(text.tokens(F.translate("text", ascii_uppercase, ascii_lowercase))).alias("tokens"))
 
 
 _SECTIONS = " + ".join(rf"coalesce(regexp_matches(text, '(?i)##?\s*(?:{names})'), false)::INT" for names in text.SECTIONS)
 
 
-@plan("card_sections", f"SELECT doc_id, round(({_SECTIONS}) / 6.0::DOUBLE, 2) AS quality FROM documents", network=False)
-def _(table) -> DataFrame:
-    return table("documents").select("doc_id", text.card_sections(F.col("text")).alias("quality"))
-
-
-_LEXICON = ", ".join(f"('{w}', {v[0]}, {v[1]}, {v[2]})" for w, v in text.AFFECT.items())
-
-
-@plan("epa_scores", f"""WITH lex(w, e, p, a) AS (VALUES {_LEXICON}), t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents WHERE lang = 'en')
-SELECT doc_id, CASE WHEN count(lex.w) > 0 THEN greatest(-10, least(10, sum(e))) END / 10.0::DOUBLE AS e, CASE WHEN count(lex.w) > 0 THEN greatest(-10, least(10, sum(p))) END / 10.0::DOUBLE AS p, CASE WHEN count(lex.w) > 0 THEN greatest(-10, least(10, sum(a))) END / 10.0::DOUBLE AS a FROM t LEFT JOIN lex USING (w) GROUP BY doc_id""", network=False)
+@plan("card_quality", f"SELECT doc_id, round(({_SECTIONS}) / 6.0::DOUBLE, 2) AS quality FROM documents", network=False)
 def _(table) -> DataFrame:
-    e, p, a = text.affect(F.col("text"))
-    return table("documents").where("lang = 'en'").select("doc_id", e.alias("e"), p.alias("p"), a.alias("a"))
+    return table("documents").select("doc_id", text.card_quality(F.col("text")).alias("quality"))
 
 
 _WORDS = ", ".join(f"('{w}', {v[0]}, {v[1]}, {v[2]})" for w, v in text.LEXICON.items())
 
 
-@plan("epa_lexicon", f"""WITH lex(w, e, p, a) AS (VALUES {_WORDS}), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9-]+')) AS w FROM documents),
+@plan("epa_scores", f"""WITH lex(w, e, p, a) AS (VALUES {_WORDS}), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9-]+')) AS w FROM documents),
 hit AS (SELECT doc_id, {", ".join(f"greatest(-10, least(10, sum({x}))) / 10.0::DOUBLE AS {x}" for x in "epa")} FROM t JOIN lex USING (w) GROUP BY doc_id)
 SELECT d.doc_id, e, p, a FROM documents d LEFT JOIN hit USING (doc_id)""", network=False)
 def _(table) -> DataFrame:
@@ -504,14 +487,6 @@ def _(net: Network) -> DataFrame:
     return net.models.orderBy(text.sample_key("s1", F.col("model_id")), "model_id").limit(50).select("model_id")
 
 
-@plan("paragraph_budget", """SELECT doc_id, CAST(count(*) AS BIGINT) AS paragraphs, CAST(sum(n) AS BIGINT) AS chars FROM (SELECT doc_id, n, sum(n) OVER (PARTITION BY doc_id ORDER BY n DESC, i ROWS UNBOUNDED PRECEDING) AS used FROM (
-SELECT doc_id, i, length(p) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE length(p) > 0)) WHERE used <= 2000 GROUP BY doc_id""", network=False)
-def _(table) -> DataFrame:
-    parts = table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "p")).select("doc_id", "i", F.length("p").cast("bigint").alias("n")).where("n > 0")
-    used = F.sum("n").over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "i").rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn("used", used).where("used <= 2000").groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum("n").alias("chars"))
-
-
 _FIRED = """SELECT model_id, 'tiny_is_small' AS rule, 1 AS tier, ['size-1'] AS requires, ['size-7', 'size-6'] AS forbids FROM facts WHERE p_size < 5 UNION ALL SELECT model_id, 'returns_doubt_popularity', 2, [], ['high-volume'] FROM facts WHERE ret > 0.4
 UNION ALL SELECT model_id, 'few_suppliers', 1, [], ['multi-supplier'] FROM facts WHERE n_supp < 20 UNION ALL SELECT model_id, 'promo_lines', 3, [], ['return-prone'] FROM facts WHERE p_type = 'PROMO' UNION ALL SELECT model_id, 'bulk_sellers', 1, ['high-volume'], [] FROM facts WHERE downloads > 900
 UNION ALL SELECT model_id, 'large_many', 2, [], ['multi-supplier'] FROM facts WHERE p_type = 'LARGE' AND n_supp >= 30 UNION ALL SELECT model_id, 'economy_warn', 3, [], ['size-7'] FROM facts WHERE p_type = 'ECONOMY'"""
@@ -580,9 +555,19 @@ ORACLES["merge_outcomes"] = on_network("SELECT s.label, CASE WHEN c.label IS NUL
 ORACLES["healing_candidates"] = on_network("SELECT model_id, 'popular' AS why FROM pop UNION ALL (SELECT model_id, 'sampled' FROM flagged WHERE model_id NOT IN (SELECT model_id FROM pop) ORDER BY sha256('heal:' || model_id), model_id LIMIT 10)", _SUGGESTED, _FINDINGS, "flagged AS (SELECT model_id, downloads FROM facts WHERE model_id IN (SELECT model_id FROM findings WHERE kind = 'contradiction'))", "pop AS (SELECT model_id FROM flagged ORDER BY downloads DESC, model_id LIMIT 10)")
 
 
-@plan("expansion_matches", "SELECT model_id, 'showcase' AS label, 0.7::DOUBLE AS confidence FROM facts WHERE (word1 IN ('red', 'blue'))::INT + (p_type = 'PROMO')::INT + regexp_matches(p_name, '^[a-m]')::INT >= 2")
+#: Rules of every kind of condition, as a parsed expansion file gives them; one has a pattern that is none.
+EXPANSION = {"expansions": [
+    {"label": "showcase", "bank": "DOMAIN", "mode": "auto_link", "match_rules": {"operator": "OR", "min_matches": 2, "conditions": [{"type": "tag_exact", "value": "RED"}, {"type": "pipeline_tag_in", "value": ["promo", "large"]}, {"type": "name_regex", "value": "7$"}]}},
+    {"label": "boxed", "bank": "DOMAIN", "confidence": 0.5, "match_rules": {"operator": "AND", "conditions": [{"type": "tag_regex", "value": "^b(lue|ox)"}, {"type": "metadata_equals", "value": {"key": "size", "value": 10}}]}},
+    {"label": "broken", "bank": "DOMAIN", "match_rules": {"conditions": [{"type": "tag_regex", "value": "(["}]}},
+]}
+
+
+@plan("expansion_matches", """SELECT model_id, 'showcase' AS label, 'auto_link' AS mode, 0.7::DOUBLE AS confidence FROM facts WHERE (lower(word1) = 'red' OR lower(word2) = 'red')::INT + (p_type IN ('PROMO', 'LARGE'))::INT + regexp_matches(model_id, '7$')::INT >= 2
+UNION ALL SELECT model_id, 'boxed', 'create_only', 0.5 FROM facts WHERE p_size = 10 AND (regexp_matches(word1, '(?i)^b(lue|ox)') OR regexp_matches(word2, '(?i)^b(lue|ox)'))""")
 def _(net: Network) -> DataFrame:
-    return records.expansion_matches(net)
+    rows = net.facts.select("model_id", F.array("word1", "word2").alias("tags"), F.lower("p_type").alias("pipeline_tag"), F.col("p_size").cast("string").alias("size"))
+    return files.expand(rows, files.expansion_rules(EXPANSION)).select("model_id", "label", "mode", "confidence")
 
 
 @plan("order_parameter", "SELECT model_id, round(sqrt(pow(avg(cos((greatest(-4, least(4, path_sign * path_depth)) + 4) / 8.0::DOUBLE * pi())), 2) + pow(avg(sin((greatest(-4, least(4, path_sign * path_depth)) + 4) / 8.0::DOUBLE * pi())), 2)), 6) AS r FROM positions GROUP BY model_id HAVING count(*) >= 2")

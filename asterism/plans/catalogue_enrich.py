@@ -16,29 +16,38 @@ def _(table) -> DataFrame:
     return table("documents").select("doc_id", enrich.clean_card(F.col("text")).alias("card"))
 
 
-@plan("paragraph_scores", "SELECT doc_id, i, round(0.5::DOUBLE * contains(lower(p), lang)::INT + 0.3::DOUBLE * (contains(lower(p), 'benchmark') OR contains(lower(p), 'accuracy') OR contains(lower(p), 'evaluation') OR contains(lower(p), 'score') OR contains(lower(p), 'performance'))::INT + 0.2::DOUBLE * (length(p) BETWEEN 100 AND 1500)::INT, 6) AS score FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS i FROM documents)", network=False)
-def _(table) -> DataFrame:
-    parts = table("documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("i", "p"))
-    return parts.select("doc_id", "i", F.round(enrich.paragraph_score(F.col("p"), F.col("lang")), 6).alias("score"))
-
-
 _HITS = " + ".join(f"contains(lower(p), '{w}')::INT" for w in enrich.EVALUATIVE)
 
 
-@plan("best_paragraphs", f"""WITH parts AS (SELECT doc_id, source, unnest(string_split(text, chr(10) || chr(10))) AS raw, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents),
+_SCORED = f"""WITH parts AS (SELECT doc_id, source, unnest(string_split(text, chr(10) || chr(10))) AS raw, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents),
 ready AS (SELECT doc_id, i, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(source, '')), '[/\\s-]+'), lambda t: length(t) > 2)) AS terms, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS p FROM parts),
-scored AS (SELECT doc_id, i, length(p) AS n, 1250 * len(list_filter(terms, lambda t: contains(lower(p), t))) + 750 * ({_HITS}) + least(length(p), 500) AS score FROM ready WHERE length(p) >= 30),
+scored AS (SELECT doc_id, i, length(p) AS n, 1250 * len(list_filter(terms, lambda t: contains(lower(p), t))) + 750 * ({_HITS}) + least(length(p), 500) AS score FROM ready WHERE length(p) >= 30)"""
+
+
+@plan("paragraph_scores", f"{_SCORED} SELECT doc_id, CAST(i - 1 AS INT) AS i, round(score / 2500.0::DOUBLE, 6) AS score FROM scored", network=False)
+def _(table) -> DataFrame:
+    parts = table("documents").select("doc_id", F.explode(enrich.paragraph_scores(F.col("text"), F.col("source"))).alias("x"))
+    return parts.select("doc_id", "x.i", F.round(F.col("x.points") / 2500.0, 6).alias("score"))
+
+
+@plan("paragraph_budget", f"""{_SCORED},
 used AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY score DESC, i ROWS UNBOUNDED PRECEDING) AS used FROM scored)
 SELECT d.doc_id, count(n) AS paragraphs, CAST(coalesce(sum(n), 0) AS BIGINT) AS chars FROM documents d LEFT JOIN (SELECT * FROM used WHERE used <= 8000) USING (doc_id) GROUP BY d.doc_id""", network=False)
 def _(table) -> DataFrame:
     return table("documents").select("doc_id", enrich.best_paragraphs(F.col("text"), F.col("source")).alias("x")).select("doc_id", "x.*")
 
 
-@plan("benchmark_tables", "SELECT model_id, 'mmlu' AS benchmark, p_size::DOUBLE + 40.5 AS value FROM facts WHERE p_size + 40.5 <= 100 UNION ALL SELECT model_id, 'gsm8k', p_size::DOUBLE FROM facts WHERE p_size % 2 = 0")
-def _(net: Network) -> DataFrame:
+def _cards(net: Network) -> DataFrame:
+    """Descriptions with a table of benchmarks, a table of something else and rows without a header."""
     size = F.col("p_size").cast("string")
-    card = F.concat(F.lit("# x\n| task | score |\n|---|---|\n| MMLU (5-shot) | n/a | "), (F.col("p_size") + 40.5).cast("string"), F.lit("% |\n"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("| GSM8K | "), size, F.lit(" |\n"))).otherwise(F.lit("")), F.lit("| other | 3 |"))
-    return enrich.benchmark_rows(net.facts.select("model_id", card.alias("card")), "model_id", "card")
+    some = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("| GSM8K | "), size, F.lit(" |\n"))).otherwise(F.lit(""))
+    card = F.concat(F.lit("# x\n| Benchmark | shots | value |\n|:--|---|---|\n| MMLU | n/a | "), (F.col("p_size") + 40.5).cast("string"), F.lit("% |\n"), some, F.lit("| Other Thing | 3 |\n| none | n/a |\n\n| task | kind |\n|---|---|\n| arc | 5 |\n\n| mmlu | 99 |"))
+    return net.facts.select("model_id", card.alias("card"))
+
+
+@plan("benchmark_tables", "SELECT model_id, 'mmlu' AS benchmark, CAST(p_size + 40.5::DOUBLE AS VARCHAR) || '%' AS score FROM facts UNION ALL SELECT model_id, 'gsm8k', CAST(p_size AS VARCHAR) FROM facts WHERE p_size % 2 = 0 UNION ALL SELECT model_id, 'other-thing', '3' FROM facts")
+def _(net: Network) -> DataFrame:
+    return enrich.benchmark_rows(_cards(net), "model_id", "card")
 
 
 @plan("prompts", "SELECT model_id, 'Describe ' || display_name || ' of ' || author || ' in one sentence. Known: ' || coalesce((SELECT string_agg(label, ', ' ORDER BY label) FROM model_anchors a WHERE a.model_id = m.model_id), '') || '.' AS prompt FROM models m")
@@ -94,7 +103,6 @@ def _(net: Network) -> DataFrame:
     return vocabulary.mentioned(net.models, "display_name", {"hot": "warm-goods", "red": "colour", "blue": "colour"})
 
 
-@plan("benchmark_labels", "SELECT model_id, 'high-mmlu' AS label FROM facts WHERE p_size + 40.5 BETWEEN 70 AND 100")
+@plan("benchmark_labels", "SELECT model_id, 'high-mmlu' AS label FROM facts WHERE p_size + 40.5 >= 70 UNION ALL SELECT model_id, 'strong-gsm8k' FROM facts WHERE p_size % 2 = 0 AND p_size >= 60")
 def _(net: Network) -> DataFrame:
-    rows = net.facts.select("model_id", F.lit("mmlu").alias("benchmark"), (F.col("p_size") + 40.5).alias("value")).where("value <= 100")
-    return enrich.benchmark_labels(rows, "model_id")
+    return enrich.benchmark_labels(enrich.benchmark_rows(_cards(net), "model_id", "card"), "model_id")

@@ -90,9 +90,22 @@ def _(net: Network) -> DataFrame:
     return records.efficiency_dissent(net)
 
 
-@plan("scrub_tiers", "SELECT model_id, label FROM (SELECT model_id, label, row_number() OVER (PARTITION BY model_id ORDER BY label DESC) AS k FROM model_anchors WHERE bank IN ('EFFICIENCY', 'QUALITY', 'DOMAIN')) WHERE k > 1 AND false")
+_STACKED = """stacked AS (SELECT model_id, CASE WHEN params_b < 0.5 THEN 'sub-1B' WHEN params_b < 1.5 THEN '1B-class' ELSE '3B-class' END AS label FROM facts UNION SELECT model_id, '70B-class' FROM facts WHERE p_size % 4 = 0 UNION SELECT model_id, 'sub-1B' FROM facts WHERE p_size % 6 = 0
+UNION SELECT model_id, 'long-context-32k' FROM facts WHERE p_size % 3 = 0 UNION SELECT model_id, 'long-context-128k' FROM facts WHERE p_size % 5 = 0 UNION SELECT model_id, 'long-context-1m' FROM facts WHERE p_size % 7 = 0 UNION SELECT model_id, 'chat' FROM facts),
+tier(label, family, k) AS (VALUES ('long-context-32k', 'context', 1), ('long-context-128k', 'context', 2), ('long-context-1m', 'context', 3), ('sub-1B', 'size', 1), ('1B-class', 'size', 2), ('3B-class', 'size', 3), ('7B-class', 'size', 4), ('13B-class', 'size', 5), ('30B-class', 'size', 6), ('70B-class', 'size', 7), ('frontier-class', 'size', 8))"""
+
+
+@plan("scrub_tiers")
 def _(net: Network) -> DataFrame:
-    return records.keep_best_tier(net)
+    size = F.col("p_size")
+    own = F.when(F.col("params_b") < 0.5, "sub-1B").when(F.col("params_b") < 1.5, "1B-class").otherwise("3B-class")
+    more = [F.when(size % k == 0, label) for k, label in ((4, "70B-class"), (6, "sub-1B"), (3, "long-context-32k"), (5, "long-context-128k"), (7, "long-context-1m"))]
+    labels = net.facts.select("model_id", F.explode(F.array(own, *more, F.lit("chat"))).alias("label")).where("label is not null")
+    return records.keep_best_tier(labels, net.facts.select("model_id", F.when(size % 11 != 0, F.col("params_b")).alias("params_b")))
+
+
+ORACLES["scrub_tiers"] = on_network("""SELECT model_id, label FROM stacked JOIN tier USING (label) JOIN facts USING (model_id) WHERE (family = 'context' AND k < (SELECT max(t.k) FROM stacked s JOIN tier t USING (label) WHERE s.model_id = facts.model_id AND t.family = 'context'))
+OR (family = 'size' AND p_size % 11 <> 0 AND label <> CASE WHEN params_b < 0.5 THEN 'sub-1B' WHEN params_b < 1.5 THEN '1B-class' ELSE '3B-class' END) OR (family = 'size' AND p_size % 11 = 0 AND k < (SELECT max(t.k) FROM stacked s JOIN tier t USING (label) WHERE s.model_id = facts.model_id AND t.family = 'size'))""", _STACKED)
 
 
 @plan("evaluation_checks")

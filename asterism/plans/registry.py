@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     catalogue,
     catalogue_enrich,  # noqa: F401  these register their queries
+    catalogue_hub,  # noqa: F401
     catalogue_more,  # noqa: F401
 )
 

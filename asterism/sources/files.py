@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,8 +60,19 @@ def read_expansions(path: str) -> list[dict[str, Any]]:
         return expansion_rules(yaml.safe_load(f) or {})
 
 
+def _pattern(value: Any) -> bool:
+    """Whether a value is a pattern; a broken one never matches."""
+    try:
+        re.compile(str(value))
+    except re.error:
+        return False
+    return True
+
+
 def condition(kind: str, value: Any) -> Column:
-    """A condition over raw records: tag_exact, tag_regex, pipeline_tag_in, name_regex or metadata_equals; others never hold."""
+    """A condition over raw records: tag_exact, tag_regex, pipeline_tag_in, name_regex or metadata_equals; others and broken patterns never hold."""
+    if kind.endswith("_regex") and not _pattern(value):
+        return F.lit(False)
     if kind == "tag_exact":
         return F.array_contains(F.transform("tags", lambda t: F.lower(t)), str(value).lower())
     if kind == "tag_regex":
