@@ -37,17 +37,28 @@ def pagerank(net: Network, damping: float = 0.85, iterations: int = 60, toleranc
     return ranks
 
 
+def stored_pagerank(net: Network, iterations: int = 20) -> DataFrame:
+    """Metadata rows (model_id, key, value, value_type) of PageRank to eight decimals; ranks below that have none."""
+    ranks = pagerank(net, iterations=iterations, tolerance=0.0).where(F.col("rank") >= 1e-8)
+    return ranks.select("model_id", F.lit("pagerank").alias("key"), F.format_string("%.8f", F.round("rank", 8)).alias("value"), F.lit("float").alias("value_type"))
+
+
 def inherited(net: Network, least_weight: int = 2, hops: int = 3, decay: float = 0.5, floor: float = 0.05) -> DataFrame:
-    """Labels that models inherit from what they derive from: confidence times decay per hop, at the nearest distance, unless their own."""
-    edges = net.links.where(F.col("relation").isin(*S.LINEAGE_RELATIONS) & (F.col("weight") >= least_weight)).select(F.col("source_id").alias("model_id"), F.col("target_id").alias("up"))
-    reached = edges.select("model_id", "up", F.lit(1).alias("hop"))
+    """Labels that models inherit from what they derive from: confidence times decay per hop and the weights of the links, unless their own.
+
+    An ancestor counts at its least distance, by the best of equally short paths, and with a confidence of 1 at most;
+    ``floor`` leaves out what is weaker.
+    """
+    edges = net.links.where(F.col("relation").isin(*S.LINEAGE_RELATIONS) & (F.col("weight") >= least_weight)).groupBy(F.col("source_id").alias("model_id"), F.col("target_id").alias("up")).agg(F.max("weight").cast("double").alias("w"))
+    reached = edges.select("model_id", "up", F.lit(1).alias("hop"), "w")
     frontier = reached
     for hop in range(2, hops + 1):
-        frontier = frontier.join(edges.select(F.col("model_id").alias("up"), F.col("up").alias("next")), "up").select("model_id", F.col("next").alias("up"), F.lit(hop).alias("hop")).distinct()
-        reached = reached.union(frontier)
-    nearest = reached.where("model_id <> up").groupBy("model_id", "up").agg(F.min("hop").alias("hop"))
+        frontier = frontier.join(edges.select(F.col("model_id").alias("up"), F.col("up").alias("next"), F.col("w").alias("v")), "up").groupBy("model_id", F.col("next").alias("up")).agg(F.lit(hop).alias("hop"), F.max(F.col("w") * F.col("v")).alias("w"))
+        reached = reached.union(frontier.select("model_id", "up", "hop", "w"))
+    nearest = reached.where("model_id <> up").groupBy("model_id", "up").agg(F.min(F.struct("hop", (-F.col("w")).alias("w"))).alias("x")).select("model_id", "up", "x.hop", (-F.col("x.w")).alias("w"))
     got = nearest.join(net.model_anchors.select(F.col("model_id").alias("up"), "label", "confidence"), "up")
-    best = got.groupBy("model_id", "label").agg(F.max(F.col("confidence") * F.pow(F.lit(decay), F.col("hop"))).alias("confidence")).where(F.col("confidence") >= floor)
+    fading = F.least(F.lit(1.0), F.col("confidence") * F.pow(F.lit(decay), F.col("hop")) * F.col("w"))
+    best = got.groupBy("model_id", "label").agg(F.max(fading).alias("confidence")).where(F.col("confidence") >= floor)
     return best.join(net.model_anchors.select("model_id", "label"), ["model_id", "label"], "left_anti")
 
 
@@ -101,10 +112,11 @@ def fingerprint_links(net: Network, cap: int = 50) -> DataFrame:
     return within_groups(fingerprints(net), ["fingerprint"], cap).select("a", "b", F.lit("same_family").alias("relation"), F.lit(0.5).alias("weight"))
 
 
-def neighbours(net: Network, cap: int = 20) -> DataFrame:
-    """Per node its strongest links, outgoing before incoming: at most ``cap`` each way and in all, each neighbour once."""
+def neighbours(net: Network, cap: int = 20, nodes: DataFrame | None = None) -> DataFrame:
+    """Per node (of ``nodes``, or all) its strongest links, outgoing before incoming: at most ``cap`` each way and in all, each neighbour once."""
     out = net.links.select(F.col("source_id").alias("node"), F.col("target_id").alias("other"), "relation", "weight", F.lit(0).alias("way"))
     both = out.union(net.links.select(F.col("target_id"), F.col("source_id"), "relation", "weight", F.lit(1)))
+    both = both if nodes is None else both.join(nodes.select("node"), "node", "left_semi")
     each = both.withColumn("k", F.row_number().over(Window.partitionBy("node", "way").orderBy(F.desc("weight"), "other", "relation"))).where(F.col("k") <= cap)
     once = each.groupBy("node", "other").agg(F.min(F.struct("way", "k", "relation", "weight")).alias("x")).select("node", "other", "x.*")
     ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("way", "k", "other"))).where(F.col("r") <= cap)
@@ -112,16 +124,30 @@ def neighbours(net: Network, cap: int = 20) -> DataFrame:
     return ranked.select("node", "other", "relation", weight.alias("step"))
 
 
-def spread(net: Network, seeds: tuple[str, ...], depth: int = 2, decay: float = 0.8) -> DataFrame:
-    """Activation from seeds along the strongest links: the best product of decayed steps over paths of at most ``depth`` links."""
+def co_labelled(net: Network, nodes: DataFrame, banks: tuple[str, ...] | None = None, cap: int = 15) -> DataFrame:
+    """Per node of ``nodes`` the models that share most labels (of some banks) with it, at most ``cap``, and the shared part of its labels."""
+    held = (net.model_anchors if banks is None else net.model_anchors.where(F.col("bank").isin(*banks))).select("model_id", "anchor_id")
+    mine = held.withColumnRenamed("model_id", "node").join(nodes.select("node"), "node", "left_semi")
+    size = mine.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    shared = mine.join(held.select(F.col("model_id").alias("other"), "anchor_id"), "anchor_id").where("node <> other").groupBy("node", "other").agg(F.count(F.lit(1)).alias("shared"))
+    ranked = shared.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "other"))).where(F.col("k") <= cap)
+    return ranked.join(size, "node").select("node", "other", (F.col("shared") / F.col("size")).alias("step"))
+
+
+def spread(net: Network, seeds: tuple[str, ...], depth: int = 3, decay: float = 0.8, banks: tuple[str, ...] | None = None, labels: bool = True) -> DataFrame:
+    """Activation from seeds along the strongest links and, with ``labels``, shared labels: the best product of decayed steps over paths of at most ``depth``.
+
+    Only what a node is reached from is ranked: each hop expands the nodes that got more than before.
+    """
     spark = net.models.sparkSession
-    near = stored(neighbours(net), "neighbours")
-    best = spark.createDataFrame([(s, 1.0) for s in seeds], "node string, activation double")
-    reached = best
-    for _ in range(depth):
-        step = reached.join(near, "node").groupBy(F.col("other").alias("node")).agg(F.max(F.col("activation") * decay * F.col("step")).alias("activation"))
-        reached = step
-        best = best.union(step)
+    best = frontier = spark.createDataFrame([(s, 1.0) for s in seeds], "node string, activation double")
+    for hop in range(depth):
+        step = neighbours(net, nodes=frontier).select("node", "other", "step")
+        step = step.union(co_labelled(net, frontier, banks)) if labels else step
+        got = frontier.join(step, "node").groupBy(F.col("other").alias("node")).agg(F.max(F.col("activation") * decay * F.col("step")).alias("activation"))
+        gained = got.join(best.select("node", F.col("activation").alias("had")), "node", "left").where("had is null or activation > had").select("node", "activation")
+        frontier = stored(gained, f"spread-{hop}")
+        best = stored(best.union(frontier).groupBy("node").agg(F.max("activation").alias("activation")), f"activation-{hop}")
     return best.groupBy("node").agg(F.max("activation").alias("activation")).where(~F.col("node").isin(*seeds)).select(F.col("node").alias("model_id"), F.round("activation", 6).alias("score"))
 
 

@@ -1,8 +1,8 @@
 """The flagship: navigational ranking of entities by seven multiplied factors.
 
-Hard constraints come first as semi-joins. All label-based factors then come from one aggregation of the candidates'
-labels against a small table of label weights; scalars such as totals are driver-side constants. The top rows are taken
-by score and id, and only that window is re-ranked for diversity and marked with tie clusters.
+A profile of each model holds all that a query scores and is stored with the network. A query filters profiles by its hard
+constraints and scores them in one pass, without joins; totals over labels are driver-side constants. The top rows are
+taken by score and id, and only that window is re-ranked for diversity and marked with tie clusters.
 """
 
 from __future__ import annotations
@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .. import schema as S
-from ..network import Network
+from ..network import Network, stored
 from ..schema import Query
-from . import stats
-from .filters import candidates
+from . import graph, stats
 
 #: Share of mechanical meaning by bank; the rest is semantic. Fixed values.
 MECHANICAL = {"EFFICIENCY": 1.0, "COMPATIBILITY": 1.0, "LINEAGE": 1.0, "ARCHITECTURE": 0.5, "CAPABILITY": 0.0, "DOMAIN": 0.0, "QUALITY": 0.0, "TRAINING": 0.0}
@@ -97,30 +96,61 @@ def submodular(signals: list[Column], decay: float = S.SUBMODULAR_DECAY) -> Colu
 def centrality(scored: DataFrame, column: str = "pagerank") -> DataFrame:
     """``pr_frac``: dense rank among the different positive values, scaled to 0..1; 0 with fewer than two of them.
 
-    Distinct values are ranked, not rows, so the ordered window holds one row per value.
+    The different values are dealt by ranges and numbered within, so no task sees them all; only a count for each range
+    comes to the driver.
     """
-    values = scored.where(F.col(column) > 0).select(column).distinct()
-    ranked = values.withColumn("k", F.row_number().over(Window.orderBy(column)) - 1)
-    top = ranked.agg(F.max("k").cast("double")).scalar()
-    fraction = ranked.select(F.col(column).alias("__v"), F.try_divide(F.col("k"), top).alias("pr_frac"))
+    spark = scored.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = scored.where(F.col(column) > 0).select(F.col(column).alias("__v")).distinct().repartitionByRange(ranges, "__v").withColumn("__range", F.spark_partition_id())
+    numbered = stored(values.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy("__v")) - 1), "centrality")
+    before, shifts = 0, {}
+    for r in sorted(numbered.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["__range"]):
+        shifts[r["__range"]], before = before, before + r["n"]
+    if before < 2:
+        return scored.withColumn("pr_frac", F.lit(0.0))
+    shift = F.create_map(*[F.lit(x) for pair in shifts.items() for x in pair])
+    fraction = numbered.select("__v", ((F.col("__k") + F.element_at(shift, F.col("__range"))) / float(before - 1)).alias("pr_frac"))
     return scored.join(fraction, F.col(column) == F.col("__v"), "left").drop("__v").withColumn("pr_frac", F.coalesce("pr_frac", F.lit(0.0)))
 
 
-def pagerank_proxy(net: Network) -> DataFrame:
-    """A stored centrality per model: its share of the weight of lineage links that point at it."""
-    into = net.links.where(F.col("relation").isin(*S.LINEAGE_RELATIONS)).groupBy(F.col("target_id").alias("model_id")).agg(F.sum("weight").alias("w"))
-    return into.select("model_id", (F.col("w") / F.lit(lineage_weight(net))).alias("pagerank"))
-
-
 @lru_cache(maxsize=16)
-def lineage_weight(net: Network) -> float:
-    """The summed weight of all lineage links of a network, which doesn't change."""
-    return float(net.links.where(F.col("relation").isin(*S.LINEAGE_RELATIONS)).agg(F.sum("weight")).first()[0] or 1)
+def profile(net: Network) -> DataFrame:
+    """A row per model with all that a query scores: positions by bank, labels, coherence, affect, PageRank and its percentile.
+
+    Stored once for a network, which doesn't change, so a query is a scan of a few of its columns. A model's labels are of
+    the closed vocabulary, so its array is bounded.
+    """
+    places = net.positions.groupBy("model_id").agg(*[F.max(F.when(F.col("bank") == b, F.col(f"path_{part}"))).alias(f"{b}_{part}") for b in S.BANKS for part in ("sign", "depth")])
+    labels = net.model_anchors.groupBy("model_id").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    ranks = graph.stored_pagerank(net).select("model_id", F.col("value").cast("double").alias("pagerank"))
+    facts = net.facts.select("model_id", F.coalesce("certification", F.lit(1.0)).alias("coherence"), "vibe_e", "vibe_p", "vibe_a")
+    rows = reduce(lambda a, b: a.join(b, "model_id", "left"), (places, labels, facts, ranks), net.models.select("model_id"))
+    rows = rows.withColumns({"labels": F.coalesce("labels", F.array().cast("array<string>")), "pagerank": F.coalesce("pagerank", F.lit(0.0)), "coherence": F.coalesce("coherence", F.lit(1.0))})
+    return stored(centrality(stored(rows, "profile-rows")), "profile")
 
 
 @lru_cache(maxsize=16)
-def model_count(net: Network) -> int:
-    return net.models.count()
+def usage(net: Network) -> tuple[int, tuple[tuple[str, str, int], ...]]:
+    """How many models there are, and (label, bank, models with it) for each label of the closed vocabulary."""
+    total = net.models.count()
+    uses = net.model_anchors.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    rows = net.anchors.select("label", "bank").join(uses, "label", "left").na.fill(0, ["n"]).collect()
+    return total, tuple((r["label"], r["bank"], r["n"]) for r in rows)
+
+
+def hard(q: Query) -> Column:
+    """The constraints on a profile that leave a model out: required labels, depth floors and ceilings."""
+    out = F.lit(True)
+    for label in dict.fromkeys(q.require):
+        out = out & F.array_contains("labels", label)
+    for bank, least in q.min_depth.items():
+        if d := q.directions.get(bank):
+            out = out & F.coalesce((F.col(f"{bank}_sign") == d) & (F.col(f"{bank}_depth") >= least), F.lit(False))
+    for bank, most in q.max_depth.items():
+        if bank in q.directions:
+            side = F.lit(True) if q.directions[bank] == 0 else F.col(f"{bank}_sign") == q.directions[bank]
+            out = out & F.coalesce(side & (F.col(f"{bank}_depth") <= most), F.lit(False))
+    return out
 
 
 def mechanical_fraction(q: Query, idf: dict[str, float], bank_of: dict[str, str]) -> float:
@@ -132,42 +162,38 @@ def mechanical_fraction(q: Query, idf: dict[str, float], bank_of: dict[str, str]
 
 
 def scored(net: Network, q: Query) -> DataFrame:
-    """Every candidate with its factors and score, without an order.
+    """Every candidate with its factors and score, without an order: one pass over the profiles, without a shuffle.
 
-    One job counts labels over the corpus and the candidates; the vocabulary is closed, so that its counts fit the driver.
-    Another counts the candidates, and the rest is one plan.
+    Constants come from label counts, which the vocabulary bounds; with hard constraints a job counts the candidates'
+    labels, and their percentiles are taken among themselves.
     """
+    rows, (total_models, uses) = profile(net), usage(net)
     constrained = bool(q.require or q.min_depth or q.max_depth)
-    chosen = candidates(net, q)
-    total_models = model_count(net)
-    c = chosen.count() if constrained else total_models
-    bridge = net.model_anchors.join(chosen.withColumn("chosen", F.lit(True)), "model_id", "left") if constrained else net.model_anchors.withColumn("chosen", F.lit(True))
-    uses = bridge.groupBy("label").agg(F.count(F.lit(1)).alias("n_g"), F.count("chosen").alias("n_c"))
-    vocabulary = net.anchors.select("label", "bank").join(uses, "label", "left").na.fill(0, ["n_g", "n_c"]).collect()
-    idf = {r["label"]: math.log(total_models / max(r["n_g"], 1)) for r in vocabulary} if total_models else {}
-    seed = [r["label"] for r in net.model_anchors.where(F.col("model_id") == q.similar_to).select("label").distinct().collect()] if q.similar_to else []
-    share = {r["label"]: r["n_c"] / c for r in vocabulary if r["n_c"]} if c else {}
-    gain = {r["label"]: math.log(share[r["label"]] / (r["n_g"] / total_models)) for r in vocabulary if r["label"] in share}
+    if constrained:
+        rows = rows.where(hard(q))
+        counted = rows.select("model_id", F.explode(F.concat(F.array(F.lit(None).cast("string")), "labels")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+        within = {r["label"]: r["n"] for r in counted}
+        c = within.pop(None, 0)
+        rows = centrality(rows.drop("pr_frac"))
+    else:
+        within, c = {label: n for label, _, n in uses}, total_models
+    idf = {label: math.log(total_models / max(n, 1)) for label, _, n in uses} if total_models else {}
+    everywhere = {label: n for label, _, n in uses}
+    seed = (profile(net).where(F.col("model_id") == q.similar_to).select("labels").first() or [[]])[0] if q.similar_to else []
+    share = {label: n / c for label, n in within.items() if n} if c else {}
+    gain = {label: math.log(p / (everywhere[label] / total_models)) for label, p in share.items()}
     positive = {a: gain[a] for a in q.prefer if gain.get(a, 0.0) > 0}
     typical = {a: p for a, p in share.items() if p > S.STANDARD_SHARE and a not in q.require}
-    weights = mode_weights(q.mode, mechanical_fraction(q, idf, {r["label"]: r["bank"] for r in vocabulary}))
+    weights = mode_weights(q.mode, mechanical_fraction(q, idf, {label: bank for label, bank, _ in uses}))
 
     total = lambda labels, of: sum(of.get(a, 0.0) for a in sorted(labels))
-    held = lambda labels, of: F.sum(reduce(lambda acc, a: acc.when(F.col("label") == a, F.lit(float(of.get(a, 0.0)))), sorted(labels), F.when(F.lit(False), 0.0)).otherwise(0.0))
+    held = lambda labels, of: reduce(lambda acc, a: acc + F.when(F.array_contains("labels", a), F.lit(float(of.get(a, 0.0)))).otherwise(0.0), sorted(labels), F.lit(0.0))
     surprise = {a: -math.log(p) for a, p in typical.items()}
-    sums = {"prefer_idf": held(set(q.prefer), idf), "context_idf": held(set(q.context), idf), "prefer_pmi": held(set(q.prefer), positive), "known": held(set(surprise), surprise), "seed_idf": held(set(seed), idf), "avoided": held(set(q.avoid), dict.fromkeys(q.avoid, 1.0))}
-    labelled = net.model_anchors.join(chosen, "model_id", "left_semi") if constrained else net.model_anchors
+    rows = rows.withColumns({"prefer_idf": held(set(q.prefer), idf), "context_idf": held(set(q.context), idf), "prefer_pmi": held(set(q.prefer), positive), "known": held(set(surprise), surprise), "seed_idf": held(set(seed), idf), "avoided": held(set(q.avoid), dict.fromkeys(q.avoid, 1.0))})
+    rows = rows.withColumns({b: F.col(f"{b}_sign") * F.col(f"{b}_depth") for b in q.directions})
     if seed:
-        weighed = net.models.sparkSession.createDataFrame([*idf.items()], "label string, idf double")
-        labelled = labelled.join(F.broadcast(weighed), "label")  # the closed vocabulary
-        sums["all_idf"] = F.sum("idf")
-    per_label = labelled.groupBy("model_id").agg(*[e.alias(c) for c, e in sums.items()])
-    wide = net.positions.where(F.col("bank").isin(*q.directions)).groupBy("model_id").agg(*[F.max(F.when(F.col("bank") == b, F.col("path_sign") * F.col("path_depth"))).alias(b) for b in q.directions]) if q.directions else None
-    rows = chosen.join(per_label, "model_id", "left").na.fill(0.0, [*sums])
-    if wide is not None:
-        rows = rows.join(wide, "model_id", "left")
-    rows = rows.join(net.facts.select("model_id", F.col("certification").alias("coherence"), "vibe_e", "vibe_p", "vibe_a"), "model_id", "left").join(pagerank_proxy(net), "model_id", "left")
-    rows = centrality(rows.withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0))))
+        weighed = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])  # the closed vocabulary
+        rows = rows.withColumn("all_idf", F.aggregate("labels", F.lit(0.0), lambda acc, a: acc + F.coalesce(F.element_at(weighed, a), F.lit(0.0))))
 
     prefer_total, context_total, pmi_total, absent_total, seed_total = total(q.prefer, idf), total(q.context, idf), total(q.prefer, positive), sum(surprise.values()), total(seed, idf)
     relevance = (F.col("prefer_idf") / prefer_total if prefer_total > 0 else F.lit(1.0)) * F.pow(F.lit(S.AVOID_DECAY), F.col("avoided"))
@@ -178,12 +204,12 @@ def scored(net: Network, q: Query) -> DataFrame:
     absent = (F.lit(absent_total) - F.col("known")) / (absent_total or 1.0)
     rows = rows.withColumns({
         "bank_alignment": bank_alignment(q.directions, q.bank_weights), "anchor_relevance": relevance, "seed_similarity": likeness,
-        "coherence": F.coalesce("coherence", F.lit(1.0)), "context_bias": bias, "epa_alignment": epa_alignment(q.vibe), "rare": rare, "absence": absent,
+        "context_bias": bias, "epa_alignment": epa_alignment(q.vibe), "rare": rare, "absence": absent,
     })
     soft = submodular([weights.centrality * F.col("pr_frac"), weights.pmi * F.col("rare"), weights.rare * F.col("rare"), weights.absence * F.col("absence"), weights.joint * F.col("pr_frac") * F.col("rare")])
     factors = ["bank_alignment", "anchor_relevance", "seed_similarity", "coherence", "context_bias", "epa_alignment", "soft_combined"]
     rows = rows.withColumn("soft_combined", soft)
-    return rows.withColumn("score", reduce(mul, [F.col(f) for f in factors])).select("model_id", *factors, "score")
+    return rows.withColumn("score", reduce(mul, [F.col(f) for f in factors])).select("model_id", *factors, "score", "labels")
 
 
 def top(rows: DataFrame, limit: int) -> DataFrame:
@@ -220,18 +246,35 @@ def tie_clusters(ordered: DataFrame, gap: float = S.TIE_GAP, most: int = S.TIE_L
     return kept.withColumn("cluster", F.when(F.col("size") >= 2, number)).drop("start", "part", "size")
 
 
+def clusters(scores: list[float], gap: float = S.TIE_GAP, most: int = S.TIE_LIMIT) -> list[int | None]:
+    """``tie_clusters`` for the scores of a window in its order."""
+    out: list[int | None] = [None] * len(scores)
+    at = number = 0
+    while at < len(scores):
+        end = at + 1
+        while end < len(scores) and end - at < most and scores[end - 1] - scores[end] < gap:
+            end += 1
+        if end - at > 1:
+            out[at:end] = [number] * (end - at)
+            number += 1
+        at = end
+    return out
+
+
 def navigate(net: Network, q: Query) -> DataFrame:
-    """The ranked answer: top candidates, re-ranked for diversity within the window, with tie clusters."""
-    spark = net.models.sparkSession
-    best = top(scored(net, q), q.limit)
-    labels = net.model_anchors.join(F.broadcast(best.select("model_id")), "model_id").groupBy("model_id").agg(F.sort_array(F.collect_set("label")).alias("labels"))  # at most ``limit`` models
-    window = best.join(labels, "model_id", "left").collect()
-    window.sort(key=lambda r: (-round(r["score"], 9), r["model_id"]))
-    named = stats.idf(net).join(net.anchors.select("label", "bank"), "label").where(F.col("label").isin(*q.require, *q.prefer)).collect() if q.mode not in MODES and (q.require or q.prefer) else []
-    weights = mode_weights(q.mode, mechanical_fraction(q, {r["label"]: r["idf"] for r in named}, {r["label"]: r["bank"] for r in named}))
-    order = rerank([(r["model_id"], r["score"], frozenset(r["labels"] or ())) for r in window], weights.relevance)
-    rows = [(k, window[at]["model_id"], float(window[at]["score"]), float(window[at]["bank_alignment"]), float(window[at]["anchor_relevance"]), list(window[at]["labels"] or [])) for k, at in enumerate(order)]
-    return tie_clusters(spark.createDataFrame(rows, "pos int, model_id string, score double, bank_alignment double, anchor_relevance double, labels array<string>"))
+    """The ranked answer: top candidates, re-ranked for diversity within the window, with tie clusters.
+
+    The window has at most ``limit`` rows and is re-ranked on the driver.
+    """
+    window = top(scored(net, q), q.limit).collect()
+    _, uses = usage(net)
+    n = usage(net)[0]
+    idf = {label: math.log(n / max(k, 1)) for label, _, k in uses} if n else {}
+    weights = mode_weights(q.mode, mechanical_fraction(q, idf, {label: bank for label, bank, _ in uses}))
+    order = [window[k] for k in rerank([(r["model_id"], r["score"], frozenset(r["labels"])) for r in window], weights.relevance)]
+    ties = clusters([r["score"] for r in order])
+    rows = [(k, r["model_id"], float(r["score"]), float(r["bank_alignment"]), float(r["anchor_relevance"]), list(r["labels"]), tie) for k, (r, tie) in enumerate(zip(order, ties))]
+    return net.models.sparkSession.createDataFrame(rows, "pos int, model_id string, score double, bank_alignment double, anchor_relevance double, labels array<string>, cluster int")
 
 
 def discriminating_axis(net: Network, groups: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ mech AS (SELECT CASE WHEN {n_banks} + t_mass > 0 THEN ({mech_banks} + t_mech) /
 mw AS (SELECT {weights} FROM mech),
 sums AS (SELECT c.model_id, coalesce(sum(CASE WHEN is_prefer THEN idf END), 0) AS s_prefer, coalesce(sum(CASE WHEN is_context THEN idf END), 0) AS s_context, coalesce(sum(CASE WHEN is_prefer THEN pmi END), 0) AS s_pmi, coalesce(sum(surprise), 0) AS s_known, coalesce(sum(is_avoid::INT), 0) AS n_avoid
   FROM cand c LEFT JOIN model_anchors ma USING (model_id) LEFT JOIN lw USING (label) GROUP BY c.model_id),
-pr AS (SELECT c.model_id, coalesce(w, 0) / (SELECT sum(weight) FROM links WHERE relation = 'fine_tuned_from')::DOUBLE AS pr FROM cand c LEFT JOIN (SELECT target_id AS model_id, sum(weight) AS w FROM links WHERE relation = 'fine_tuned_from' GROUP BY 1) USING (model_id)),
+pr AS (SELECT c.model_id, coalesce(round(rank, 8), 0) AS pr FROM cand c LEFT JOIN (SELECT model_id, rank FROM r20 WHERE rank >= 1e-8) USING (model_id)),
 pf AS (SELECT model_id, CASE WHEN pr > 0 AND (SELECT count(DISTINCT pr) FROM pr WHERE pr > 0) > 1 THEN (dense_rank() OVER (PARTITION BY pr > 0 ORDER BY pr) - 1) / ((SELECT count(DISTINCT pr) FROM pr WHERE pr > 0) - 1)::DOUBLE ELSE 0.0 END AS pr_frac FROM pr),
 fac AS (SELECT s.model_id, {bank} AS bank_alignment, (CASE WHEN t_prefer > 0 THEN s_prefer / t_prefer ELSE 1.0 END) * pow(0.5, n_avoid) AS anchor_relevance, certification AS coherence,
   CASE WHEN t_context > 0 THEN 1 + 0.5 * s_context / t_context ELSE 1.0 END AS context_bias, {epa} AS epa_alignment, pr_frac, CASE WHEN t_pmi > 0 THEN s_pmi / t_pmi ELSE 0.0 END AS rare, (t_abs - s_known) / CASE WHEN t_abs = 0 THEN 1.0 ELSE t_abs END AS absence
@@ -195,6 +195,14 @@ def _bank_sql(bank: str, direction: int, exponent: float = 1.0) -> str:
     return f"pow(CASE WHEN {v} IS NULL THEN 0.3 ELSE {known} END, {exponent}::DOUBLE)"
 
 
+def _pagerank_steps(rounds: int) -> list[str]:
+    """Tables r0, r1 and so on: the ranks after each round."""
+    parts = ["pe AS MATERIALIZED (SELECT source_id AS src, target_id AS dst, weight / sum(weight) OVER (PARTITION BY source_id) AS share FROM links WHERE relation = 'fine_tuned_from')", "pn AS MATERIALIZED (SELECT DISTINCT m AS model_id, m IN (SELECT src FROM pe) AS sends FROM (SELECT src AS m FROM pe UNION ALL SELECT dst FROM pe))", "pc AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM pn)", "r0 AS MATERIALIZED (SELECT model_id, sends, 1 / (SELECT n FROM pc) AS rank FROM pn)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"r{k} AS MATERIALIZED (SELECT model_id, sends, 0.15::DOUBLE / (SELECT n FROM pc) + 0.85 * coalesce((SELECT sum(rank) FROM r{k - 1} WHERE NOT sends), 0) / (SELECT n FROM pc) + 0.85 * coalesce(got, 0) AS rank FROM pn LEFT JOIN (SELECT dst AS model_id, sum(rank * share) AS got FROM pe JOIN r{k - 1} ON src = model_id GROUP BY dst) USING (model_id))")
+    return parts
+
+
 def _rank_sql(q: Query, where: str) -> str:
     """The oracle of a ranking query: the same factors, written relation by relation."""
     names = lambda xs: ", ".join(f"'{x}'" for x in xs) or "''"
@@ -208,7 +216,7 @@ def _rank_sql(q: Query, where: str) -> str:
     else:
         weights = "0.2 + 0.2 * (1 - m) AS k_pmi, 0.2 + 0.3 * (1 - m) AS k_rare, 0.15 + 0.25 * (1 - m) AS k_abs, 0.15 + 0.15 * (1 - m) AS k_super, 0.2 + 0.2 * m AS k_pr"
     more = _SIGNALS.format(where=where, require=names(q.require), prefer=names(q.prefer), avoid=names(q.avoid), context=names(q.context), n_banks=float(len(q.directions)), mech_banks=float(sum(navigate.MECHANICAL[b] for b in q.directions)), weights=weights, bank=bank, epa=epa)
-    return on_network(f"SELECT model_id, round(bank_alignment, 6) AS bank_alignment, round(anchor_relevance, 6) AS anchor_relevance, round(context_bias, 6) AS context_bias, round(epa_alignment, 6) AS epa_alignment, round(soft_combined, 6) AS soft_combined, round(score, 6) AS score FROM final ORDER BY round(score, 9) DESC, model_id LIMIT {q.limit}", more)
+    return on_network(f"SELECT model_id, round(bank_alignment, 6) AS bank_alignment, round(anchor_relevance, 6) AS anchor_relevance, round(context_bias, 6) AS context_bias, round(epa_alignment, 6) AS epa_alignment, round(soft_combined, 6) AS soft_combined, round(score, 6) AS score FROM final ORDER BY round(score, 9) DESC, model_id LIMIT {q.limit}", *_pagerank_steps(20), more)
 
 
 def _ranking(name: str, q: Query, where: str) -> None:
@@ -241,9 +249,20 @@ def _(net: Network) -> DataFrame:
     return navigate.scored(net, Query(similar_to="p7")).select("model_id", F.round("seed_similarity", 6).alias("similarity"))
 
 
-@plan("pagerank_fraction", "SELECT model_id, round(CASE WHEN w > 0 THEN (dense_rank() OVER (ORDER BY w) - 1) / ((SELECT count(DISTINCT weight) FROM (SELECT target_id, sum(weight) AS weight FROM links WHERE relation = 'fine_tuned_from' GROUP BY 1)) - 1)::DOUBLE ELSE 0 END, 6) AS pr_frac FROM (SELECT target_id AS model_id, sum(weight) AS w FROM links WHERE relation = 'fine_tuned_from' GROUP BY 1)")
+@plan("pagerank_fraction")
 def _(net: Network) -> DataFrame:
-    return navigate.centrality(navigate.pagerank_proxy(net)).select("model_id", F.round("pr_frac", 6).alias("pr_frac"))
+    return navigate.profile(net).where("pagerank > 0").select("model_id", F.round("pr_frac", 6).alias("pr_frac"))
+
+
+ORACLES["pagerank_fraction"] = on_network("SELECT model_id, round((dense_rank() OVER (ORDER BY round(rank, 8)) - 1) / ((SELECT count(DISTINCT round(rank, 8)) FROM r20 WHERE rank >= 1e-8) - 1)::DOUBLE, 6) AS pr_frac FROM r20 WHERE rank >= 1e-8", *_pagerank_steps(20))
+
+
+@plan("stored_pagerank")
+def _(net: Network) -> DataFrame:
+    return graph.stored_pagerank(net).select("model_id", "key", "value", "value_type")
+
+
+ORACLES["stored_pagerank"] = on_network("SELECT model_id, 'pagerank' AS key, printf('%.8f', round(rank, 8)) AS value, 'float' AS value_type FROM r20 WHERE rank >= 1e-8", *_pagerank_steps(20))
 
 
 @plan("tie_clusters", """SELECT pos, model_id, score, CASE WHEN size >= 2 THEN dense_rank() OVER (ORDER BY (size < 2)::INT, start, part)::INT - 1 END AS cluster FROM (SELECT *, count(*) OVER (PARTITION BY start, part) AS size FROM (SELECT *, (pos - start) // 20 AS part FROM (SELECT *, max(CASE WHEN fresh THEN pos END) OVER (ORDER BY pos) AS start FROM (
@@ -320,10 +339,7 @@ def _(net: Network) -> DataFrame:
 # --- graph
 
 def _pagerank_sql(rounds: int) -> str:
-    parts = ["pe AS MATERIALIZED (SELECT source_id AS src, target_id AS dst, weight / sum(weight) OVER (PARTITION BY source_id) AS share FROM links WHERE relation = 'fine_tuned_from')", "pn AS MATERIALIZED (SELECT DISTINCT m AS model_id, m IN (SELECT src FROM pe) AS sends FROM (SELECT src AS m FROM pe UNION ALL SELECT dst FROM pe))", "pc AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM pn)", "r0 AS MATERIALIZED (SELECT model_id, sends, 1 / (SELECT n FROM pc) AS rank FROM pn)"]
-    for k in range(1, rounds + 1):
-        parts.append(f"r{k} AS MATERIALIZED (SELECT model_id, sends, 0.15::DOUBLE / (SELECT n FROM pc) + 0.85 * coalesce((SELECT sum(rank) FROM r{k - 1} WHERE NOT sends), 0) / (SELECT n FROM pc) + 0.85 * coalesce(got, 0) AS rank FROM pn LEFT JOIN (SELECT dst AS model_id, sum(rank * share) AS got FROM pe JOIN r{k - 1} ON src = model_id GROUP BY dst) USING (model_id))")
-    return on_network(f"SELECT model_id, round(rank, 8) AS rank FROM r{rounds}", *parts)
+    return on_network(f"SELECT model_id, round(rank, 8) AS rank FROM r{rounds}", *_pagerank_steps(rounds))
 
 
 @plan("pagerank_5_iters")
@@ -339,7 +355,9 @@ def _(net: Network) -> DataFrame:
     return graph.pagerank(net)
 
 
-_UP = "e AS (SELECT source_id AS s, target_id AS t FROM links WHERE relation = 'fine_tuned_from' AND weight >= 2)"
+UP = ("e AS (SELECT source_id AS s, target_id AS t, weight::DOUBLE AS w FROM links WHERE relation = 'fine_tuned_from' AND weight >= 2)", "reach AS (SELECT s, t, 1 AS hop, w FROM e UNION ALL SELECT a.s, b.t, 2, a.w * b.w FROM e a JOIN e b ON a.t = b.s UNION ALL SELECT a.s, c.t, 3, a.w * b.w * c.w FROM e a JOIN e b ON a.t = b.s JOIN e c ON b.t = c.s)",
+      "nearest AS (SELECT s, t, hop, max(w) AS w FROM reach r WHERE s <> t AND hop = (SELECT min(hop) FROM reach q WHERE q.s = r.s AND q.t = r.t) GROUP BY ALL)",
+      "inh AS (SELECT model_id, label, confidence FROM (SELECT d.s AS model_id, label, max(least(1.0, confidence * pow(0.5, hop) * w)) AS confidence FROM nearest d JOIN model_anchors a ON a.model_id = d.t GROUP BY ALL) x WHERE confidence >= 0.05 AND NOT EXISTS (SELECT 1 FROM model_anchors o WHERE o.model_id = x.model_id AND o.label = x.label))")
 
 
 @plan("inherited_anchors")
@@ -347,7 +365,7 @@ def _(net: Network) -> DataFrame:
     return graph.inherited(net).withColumn("confidence", F.round("confidence", 6))
 
 
-ORACLES["inherited_anchors"] = on_network("SELECT model_id, label, round(confidence, 6) AS confidence FROM (SELECT d.s AS model_id, label, max(confidence * pow(0.5, hop)) AS confidence FROM (SELECT s, t, min(hop) AS hop FROM reach WHERE s <> t GROUP BY ALL) d JOIN model_anchors a ON a.model_id = d.t GROUP BY ALL) x WHERE confidence >= 0.05 AND NOT EXISTS (SELECT 1 FROM model_anchors o WHERE o.model_id = x.model_id AND o.label = x.label)", _UP, "reach AS (SELECT s, t, 1 AS hop FROM e UNION SELECT a.s, b.t, 2 FROM e a JOIN e b ON a.t = b.s UNION SELECT a.s, c.t, 3 FROM e a JOIN e b ON a.t = b.s JOIN e c ON b.t = c.s)")
+ORACLES["inherited_anchors"] = on_network("SELECT model_id, label, round(confidence, 6) AS confidence FROM inh", *UP)
 
 
 @plan("descendants")
@@ -388,7 +406,7 @@ SELECT node, other, way, k, relation, row_number() OVER (PARTITION BY node, othe
 
 @plan("spread_links")
 def _(net: Network) -> DataFrame:
-    return graph.spread(net, ("p3", "p9"))
+    return graph.spread(net, ("p3", "p9"), depth=2, labels=False)
 
 
 ORACLES["spread_links"] = on_network("SELECT model_id, round(max(activation), 6) AS score FROM (SELECT * FROM one UNION ALL SELECT other, max(activation * 0.8 * step) FROM one JOIN near ON node = model_id GROUP BY other) WHERE model_id NOT IN ('p3', 'p9') GROUP BY model_id", _NEAR, "one AS (SELECT other AS model_id, max(0.8::DOUBLE * step) AS activation FROM near WHERE node IN ('p3', 'p9') GROUP BY other)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..network import Network
 from ..operators import evaluate, graph, records, refine, stats
-from .catalogue import _FINDINGS, _SUGGESTED, FIRST, ORACLES, _suggested, plan
+from .catalogue import _FINDINGS, _NEAR, _SUGGESTED, FIRST, ORACLES, UP, _suggested, plan
 from .prelude import on_network
 
 
@@ -16,6 +16,15 @@ def _(net: Network) -> DataFrame:
     return graph.spread_mixed(net, ("p3",)).select("model_id", "activation", F.size("path").alias("steps"))
 
 
+@plan("spread_labels")
+def _(net: Network) -> DataFrame:
+    return graph.spread(net, ("p3",), depth=1, banks=("DOMAIN", "LINEAGE"))
+
+
+ORACLES["spread_labels"] = on_network("""SELECT model_id, round(max(a), 6) AS score FROM (SELECT other AS model_id, 0.8::DOUBLE * step AS a FROM near WHERE node = 'p3' UNION ALL SELECT model_id, 0.8::DOUBLE * shared / (SELECT count(*) FROM own) FROM (SELECT model_id, count(*) AS shared FROM model_anchors WHERE model_id <> 'p3' AND anchor_id IN (SELECT anchor_id FROM own) GROUP BY model_id ORDER BY shared DESC, model_id LIMIT 15))
+GROUP BY model_id""", _NEAR, "own AS (SELECT anchor_id FROM model_anchors WHERE model_id = 'p3' AND bank IN ('DOMAIN', 'LINEAGE'))")
+
+
 @plan("bank_activation")
 def _(net: Network) -> DataFrame:
     return graph.bank_activation(net, graph.spread_mixed(net, ("p3",)))
@@ -44,9 +53,7 @@ def _(net: Network) -> DataFrame:
     return graph.propagate(net).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-ORACLES["propagated_labels"] = on_network(
-    "SELECT label, count(*) AS n FROM (SELECT model_id, label FROM model_anchors UNION ALL SELECT model_id, label FROM (SELECT d.s AS model_id, label, max(confidence * pow(0.5, hop)) AS confidence FROM (SELECT s, t, min(hop) AS hop FROM reach WHERE s <> t GROUP BY ALL) d JOIN model_anchors a ON a.model_id = d.t GROUP BY ALL) x WHERE confidence >= 0.05 AND NOT EXISTS (SELECT 1 FROM model_anchors o WHERE o.model_id = x.model_id AND o.label = x.label)) GROUP BY label",
-    "e AS (SELECT source_id AS s, target_id AS t FROM links WHERE relation = 'fine_tuned_from' AND weight >= 2)", "reach AS (SELECT s, t, 1 AS hop FROM e UNION SELECT a.s, b.t, 2 FROM e a JOIN e b ON a.t = b.s UNION SELECT a.s, c.t, 3 FROM e a JOIN e b ON a.t = b.s JOIN e c ON b.t = c.s)")
+ORACLES["propagated_labels"] = on_network("SELECT label, count(*) AS n FROM (SELECT model_id, label FROM model_anchors UNION ALL SELECT model_id, label FROM inh) GROUP BY label", *UP)
 
 
 def _healed(net: Network) -> DataFrame:
