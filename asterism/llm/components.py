@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import drop, materialize
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
@@ -15,7 +15,6 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     chains shorten geometrically. Edges stay as they are, so no node gains neighbours; minima combine before the shuffle.
     Each round is written to the shared folder; it ends when no label changes.
     """
-    spark = edges.sparkSession
     both = materialize(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), f"{tag}-edges")
     labels = materialize(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("label"), F.lit(True).alias("changed")), f"{tag}-0")
     turn = 0
@@ -26,6 +25,6 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         moved = hooked.join(jump, "label").select("node", F.least("label", "further").alias("label"), (F.least("label", "further") != F.col("old")).alias("changed"))
         last, labels = labels, materialize(moved, f"{tag}-{turn}")
-        for path in {f.rpartition("/")[0] for f in last.inputFiles()}:
-            remove(spark, path)
+        drop(last)
+    drop(both)
     return labels.select("node", "label")

@@ -1,10 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, exact sets decide.
+"""Pairs of texts by the Jaccard similarity of their word shingles, as SimHash's near-duplicates need them.
 
-Texts with equal shingle sets meet as one node before any join. Each node has 32 band keys of 4 minima; a pair of
-similarity 0.8 agrees on none of them with probability 5e-8. Buckets of at most ``crowd`` nodes are compared pair by pair.
-In a larger bucket every node is compared with leaders first, which links a group of near copies in linear time; where
-several components are left in such buckets, nodes of different components that share two of them are compared too
-(a pair of similarity 0.8 shares only one band with probability 1e-6).
+``verified`` decides pairs on whole shingle sets. ``completed`` finds the pairs that a first set of links leaves out. Each
+text has 32 band keys of 4 minima; a pair of similarity 0.8 agrees on fewer than two of them with probability 1e-6.
+
+1. Every text is compared with one leader of its buckets, which links groups of copies in linear time.
+2. A bucket of more than ``crowd`` texts that still holds several components has texts that share a frequent passage, or
+   heavily edited copies. Shingles of its texts are ordered from rare to frequent. The place of the first shingle that two
+   texts share bounds what they can share, so a text with enough words of its own has no candidates at all. Each text is
+   compared with one hub, a text with few words of its own.
+3. Texts of different components that share two smaller buckets, or a shingle that the bound admits, are compared.
+
+No bucket is collected, and no pair is left out for being in a crowd.
 """
 
 from __future__ import annotations
@@ -14,29 +20,35 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import drop, materialize, sweep
 from .components import components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-#: Buckets of at most this many nodes are compared pair by pair.
+#: Buckets of at most this many texts are compared pair by pair.
 CROWD = 32
 _LEADERS = 4
 _BLOCK = 1 << 12
+#: Pairs of one text that meet in a task's group at most.
+_SLOT = 1024
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The different XXH64 (seed 42) hashes of the text's word shingles, sorted; of a shorter text all words; none without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> bytes:
+    """The XXH64 digests (seed 42) of the text's word shingles in order, repeats included; of a shorter text all words; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower() and split() know ASCII only
     if not words:
-        return np.zeros(0, dtype=np.uint64)
+        return b""
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(g, 42) for g in grams]), dtype=">u8").astype(np.uint64))
+    return b"".join([digest(g, 42) for g in grams])
+
+
+def as_set(hashes: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(hashes, dtype=">u8").astype(np.uint64))
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -50,97 +62,129 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
-def _prints(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, row, n, whole, bands): the number of shingles, a 128-bit hash of the set and its band keys."""
+def verified(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Rows (src, dst) of the pairs whose sets have a Jaccard similarity of ``percent`` or more; ``texts`` has (node, text).
+
+    Texts meet in two joins, and sets exist only in the task that compares them. A text in very many pairs is dealt out
+    over as many groups as hold ``_SLOT`` of them each. Written to the shared folder.
+    """
+    pairs = materialize(pairs, "pairs")
+    many = pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > _SLOT).select("dst", F.ceil(F.col("c") / _SLOT).alias("slots"))
+    dealt = pairs.join(many, "dst", "left").select("src", "dst", F.pmod(F.xxhash64("src"), F.coalesce("slots", F.lit(1))).alias("slot"))
+    ours = dealt.join(texts.select(F.col("node").alias("src"), F.col("text").alias("x")), "src")
+    theirs = dealt.select("dst", "slot").distinct().join(texts.select(F.col("node").alias("dst"), F.col("text").alias("y")), "dst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            n, whole, bands = [], [], []
-            for t in batch.column(2):
-                hashes = shingle_set(t.as_py(), shingle)
-                n.append(len(hashes))
-                whole.append(xxhash.xxh128_digest(hashes.tobytes()))
-                bands.append(band_keys(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "row", "n", "whole", "bands"])
+            keep = []
+            for dst, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if dst != last:
+                    last, known = dst, as_set(shingle_hashes(y.as_py(), shingle))
+                mine = as_set(shingle_hashes(x.as_py(), shingle))
+                common = len(np.intersect1d(mine, known, assume_unique=True))
+                keep.append((100 + percent) * common >= percent * (len(mine) + len(known)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    found = materialize(ours.join(theirs, ["dst", "slot"]).select("src", "dst", "x", "y").mapInArrow(run, "src bigint, dst bigint"), "links")
+    drop(pairs)
+    return found
 
-    slim = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id bigint, row bigint, n bigint, whole binary, bands array<bigint>")
 
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Sets of such sizes may be similar."""
+    return percent * F.greatest(a, b) <= 100 * F.least(a, b)
 
-def _sets(rows: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """Rows (node, hashes) of those nodes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [shingle_set(t.as_py(), shingle).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "hashes"])
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    texts = rows.select(F.col("__row").alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
-    return texts.select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>")
 
+def _pairs(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Pairs (src, dst) of rows (keys, node, n, label, at) that share the keys, not the label, and may be similar.
 
-def _drop(*tables: DataFrame) -> None:
-    for table in tables:
-        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            remove(table.sparkSession, path)
+    ``at`` is how many shingles stand before the shared one: if that is the first that two texts share, they share at
+    most what is left of either. Similar texts pass with their first one.
+    """
+    a = rows.select(*keys, F.col("node").alias("src"), F.col("n").alias("x"), F.col("label").alias("c"), F.col("at").alias("i"))
+    b = rows.select(*keys, F.col("node").alias("dst"), F.col("n").alias("y"), F.col("label").alias("d"), F.col("at").alias("j"))
+    return a.join(b, keys).where((F.col("src") < F.col("dst")) & (F.col("c") != F.col("d")) & _fits("x", "y", percent) & _bound("x", "y", "i", "j", percent)).select("src", "dst")
 
 
-def _similar(rows: DataFrame, pairs: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Rows (src, dst): the pairs whose sets have a Jaccard similarity of ``percent`` or more, from the shared folder."""
-    pairs = materialize(pairs.distinct(), "minhash-pairs")
-    sets = materialize(_sets(rows, pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), text_col, shingle), "minhash-sets")
-    both = pairs.join(sets.toDF("dst", "y"), "dst").join(sets.toDF("src", "x"), "src")
-    common = F.size(F.array_intersect("x", "y"))
-    found = materialize(both.where((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select("src", "dst"), "minhash-links")
-    _drop(pairs, sets)
-    return found
+def _bound(x: str, y: str, i: str, j: str, percent: int) -> Column:
+    return (100 + percent) * F.least(F.col(x) - F.col(i), F.col(y) - F.col(j)) >= percent * (F.col(x) + F.col(y))
 
 
-def _pair(a: str, b: str):
-    return F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")
+def _rare_first(texts: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Rows (h, node, n, at): of each node's shingles, rare ones first, those that may be the first it shares with a similar node, and their places."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = [as_set(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 80, crowd: int = CROWD) -> DataFrame:
-    """One row of ``df`` for each component of texts whose shingle sets have a Jaccard similarity of ``percent`` (80 or more).
-
-    That with the smallest id stays, nulls last; of repeated rows any one. Texts without words are copies of each other.
-    The rows are numbered and written to the shared folder once, so that null and repeated ids can be told apart.
+    sets = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>")
+    each = materialize(sets.select("node", F.explode("hashes").alias("h")), "shingles")
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = each.join(often, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))  # a node's own shingles
+    alone = F.col("n") - F.size("s")  # its own, which stand first
+    most = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - alone
+    first = shared.join(nodes, "node").withColumn("k", most.cast("int")).where("k > 0")
+    placed = first.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.col("k"))).alias("p", "x"))
+    out = materialize(placed.select(F.col("x.h").alias("h"), "node", "n", (F.col("alone") + F.col("p")).alias("at")), "rare")
+    drop(each)
+    return out
+
+
+def _hubs(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs (src, dst) of a node and the hub that most of its shingles have: of a shingle, the node with the least share of shingles before it."""
+    least = F.min(F.struct((F.col("at") / F.col("n")).alias("share"), F.xxhash64("node").alias("mix"), "node", "n", "label", "at")).alias("hub")
+    hubs = rare.groupBy("h").agg(F.count(F.lit(1)).alias("c"), least).where("c > 1").select("h", "hub")
+    met = rare.join(hubs, "h").select("node", "n", "at", "label", F.col("hub.node").alias("hub"), F.col("hub.n").alias("y"), F.col("hub.at").alias("j"), F.col("hub.label").alias("d"))
+    good = met.where((F.col("label") != F.col("d")) & _fits("n", "y", percent) & _bound("n", "y", "at", "j", percent)).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
+    return good.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("x")).select(F.col("node").alias("src"), F.col("x.hub").alias("dst"))
+
+
+def completed(texts: DataFrame, nodes: DataFrame, first: DataFrame, shingle: int, percent: int, crowd: int = CROWD) -> DataFrame:
+    """Rows (node, label): the component of every node that has a link.
+
+    ``texts`` has (node, text), ``nodes`` (node, n, bands): one node for texts with equal sets, with the set's size and
+    band keys. ``first`` are pairs (src, dst) to verify beside those that the bands give.
     """
-    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "minhash-rows")
-    prints = materialize(_prints(rows, id_col, text_col, shingle), "minhash-prints")
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("x")
-    nodes = materialize(prints.groupBy("whole").agg(least).select(F.col("x.row").alias("node"), "x.id"), "minhash-nodes")
-
-    keyed = prints.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", F.posexplode("bands").alias("t", "k"))
+    keyed = nodes.select("node", "n", F.posexplode("bands").alias("t", "k"))
     lead = F.min(F.struct(F.xxhash64("node", F.col("t") % _LEADERS).alias("h"), "node", "n")).alias("lead")
-    buckets = materialize(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("size"), lead).where("size > 1"), "minhash-buckets")
-    sized = materialize(keyed.join(buckets, ["t", "k"]).select("t", "k", "node", "n", "size", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "minhash-keys")
-    _drop(prints, buckets)
-
-    fits = lambda a, b: percent * F.greatest(a, b) <= 100 * F.least(a, b)
-    few = sized.where(F.col("size") <= crowd)
-    a, b = few.select("t", "k", F.col("node").alias("src"), F.col("n").alias("x")), few.select("t", "k", F.col("node").alias("dst"), F.col("n").alias("y"))
-    near = a.join(b, ["t", "k"]).where((F.col("src") < F.col("dst")) & fits("x", "y")).select("src", "dst")
-    led = sized.where((F.col("size") > crowd) & (F.col("node") != F.col("lead")) & fits("n", "lead_n")).select(*_pair("node", "lead"))
-    links = _similar(rows, near.union(led), text_col, shingle, percent)
-    labels = components(links, "minhash")
-
-    crowded = sized.where(F.col("size") > crowd).join(labels, "node", "left").select("t", "k", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = materialize(crowded.groupBy("t", "k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("t", "k"), "minhash-mixed")
-    if mixed.limit(1).count():
-        left = materialize(crowded.join(mixed, ["t", "k"]), "minhash-left")
-        one, two = left, left.select("node", F.col("t").alias("t2"), F.col("k").alias("k2"))
-        twice = materialize(one.join(two, "node").where("t < t2"), "minhash-twice")
-        names = ["t", "k", "t2", "k2"]
-        a, b = (twice.select(*names, F.col("node").alias(v), F.col("n").alias(n), F.col("label").alias(c)) for v, n, c in (("src", "x", "c"), ("dst", "y", "d")))
-        across = a.join(b, names).where((F.col("src") < F.col("dst")) & (F.col("c") != F.col("d")) & fits("x", "y")).select("src", "dst")
-        more = _similar(rows, across, text_col, shingle, percent)
-        labels = components(links.union(more), "minhash")
-        _drop(left, twice)
-
-    named = nodes.join(labels, "node", "left").select("id", F.col("node").alias("row"), F.coalesce("label", "node").alias("label"))
-    first = materialize(named.groupBy("label").agg(least).select(F.col("x.row").alias("__row")), "minhash-first")
-    _drop(nodes, sized, links, mixed)
-    return rows.join(first, "__row", "left_semi").drop("__row")
+    buckets = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("size"), lead).where("size > 1").select("t", "k", "size", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
+    sized = materialize(keyed.join(buckets, ["t", "k"]), "buckets")
+    led = sized.where((F.col("node") != F.col("lead")) & _fits("n", "lead_n", percent)).groupBy("node", "lead").agg(F.count(F.lit(1)).alias("c"))
+    best = led.groupBy("node").agg(F.max(F.struct("c", "lead")).alias("x")).select(F.col("node").alias("src"), F.col("x.lead").alias("dst"))
+    links = verified(texts, first.select("src", "dst").union(best).distinct(), shingle, percent)
+    labels = components(links, "near")
+
+    crowded = _labelled(sized.where(F.col("size") > crowd).select("t", "k", "node", "n"), labels)
+    mixed = crowded.groupBy("t", "k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("t", "k")
+    left = materialize(crowded.join(mixed, ["t", "k"], "left_semi").select("node", "n").distinct(), "left")
+    rare = _rare_first(texts, left, shingle, percent) if left.limit(1).count() else None
+    if rare is not None:
+        more = verified(texts, _hubs(_labelled(rare, labels), percent), shingle, percent)
+        links, labels = _merged(links, more, labels)
+
+    few = _labelled(sized.where(F.col("size") <= crowd).select("t", "k", "node", "n"), labels).withColumn("at", F.lit(0))
+    pairs = _pairs(few, ["t", "k"], percent).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("src", "dst")
+    if rare is not None:
+        pairs = pairs.union(_pairs(_labelled(rare, labels), ["h"], percent)).distinct()
+    sweep(texts.sparkSession)
+    links, labels = _merged(links, verified(texts, pairs, shingle, percent), labels)
+    drop(sized, left, links, *([rare] if rare is not None else []))
+    return labels
+
+
+def _merged(links: DataFrame, more: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links and their components; the tables that these replace go."""
+    if not more.limit(1).count():
+        drop(more)
+        return links, labels
+    both = materialize(links.union(more), "links")
+    drop(links, more, labels)
+    return both, components(both, "near")

@@ -6,6 +6,10 @@ the budgets are in proportion to the length. Budgets 0, 1, 1 make the first segm
 equal, so six pairs of segments serve as join keys; the chain budgets then prune pairs before the full distance is
 taken. A bucket of a key that is larger than ``crowd`` is not joined: its fingerprints agree on 32 bits, and the same
 argument on a ring of the remaining bits gives keys of 48, then 56 bits, whose buckets hold 256 fingerprints at most.
+
+``near_duplicates`` links fingerprints. ``keep_first`` links texts by the Jaccard similarity of their shingles, for which
+2 of 64 bits are far too narrow and wide budgets would leave keys of a few bits: pairs of fingerprints are verified on
+whole shingle sets there, and ``minhash`` completes them.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from . import minhash
+from .common import bucketed, materialize, sweep
 from .components import components
 
 BITS = 64
@@ -32,17 +37,15 @@ _BLOCK = 1 << 15
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash of whole text over XXH64 (seed 42) of its word shingles, repeats included; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower() and split() know ASCII only
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    counts, digest = np.zeros(BITS, dtype=np.int64), xxhash.xxh64_digest
+    return majority(minhash.shingle_hashes(text, shingle))
+
+
+def majority(hashes: bytes) -> int:
+    """The bits that are set in over half the 64-bit hashes; 0 without any."""
+    counts, n = np.zeros(BITS, dtype=np.int64), len(hashes) // 8
+    raw = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, BITS // 8)
     for at in range(0, n, _BLOCK):
-        part = words[at : at + _BLOCK + shingle - 1] if n > 1 else words
-        grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)))) if n > 1 else [b" ".join(words)]
-        raw = b"".join([digest(g, 42) for g in grams])
-        bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, BITS // 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(raw[at : at + _BLOCK], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
@@ -148,13 +151,51 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
-    """One row of ``df`` for each near-duplicate component: that with the smallest id, nulls last; of repeated rows any one.
+def _prints(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Rows (id, row, fp, n, whole, bands): fingerprint, number of different shingles, a 128-bit hash of their set and its band keys."""
 
-    The rows are numbered and written to the shared folder once, so that null and repeated ids can be told apart.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, n, whole, bands = [], [], [], []
+            for t in batch.column(2):
+                hashes = minhash.shingle_hashes(t.as_py(), shingle)
+                different = minhash.as_set(hashes)
+                fp.append(_signed(majority(hashes)))
+                n.append(len(different))
+                whole.append(xxhash.xxh128_digest(different.tobytes()))
+                bands.append(minhash.band_keys(different))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "row", "fp", "n", "whole", "bands"])
+
+    slim = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, "id bigint, row bigint, fp bigint, n bigint, whole binary, bands array<bigint>")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = minhash.SHINGLE, percent: int = 80, crowd: int = minhash.CROWD) -> DataFrame:
+    """One row of ``df`` for each component of texts whose sets of word shingles have a Jaccard similarity of ``percent`` (80 or more).
+
+    That with the smallest id stays, nulls last; of repeated rows any one. Texts without words, null or empty, are copies
+    of each other; very long texts are compared whole. Texts with equal sets meet as one node. Each node is paired with
+    the nearest fingerprint that the pigeonring finds, and ``minhash`` verifies these pairs and completes them. The rows
+    are numbered and written to the shared folder once, dealt by their number, so that null and repeated ids can be told
+    apart and texts are moved again only where they are compared; other columns may have any name but __row.
     """
-    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    prints = materialize(fingerprints(rows, id_col, text_col, row_col="__row"), "simhash-fp")
-    labelled = prints.join(_roots(prints, crowd).select("fp", "label"), "fp")
-    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x")).select(F.col("x.row").alias("__row"))
+    sweep(df.sparkSession)
+    rows = bucketed(df.withColumn("__row", F.monotonically_increasing_id()), "__row", "near-rows")
+    prints = materialize(_prints(rows, id_col, text_col, shingle), "near-prints")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("x")
+    kept = prints.groupBy("whole").agg(least).select(F.col("x.row").alias("row"))
+    nodes = materialize(prints.join(kept, "row", "left_semi").select(F.col("row").alias("node"), "id", "fp", "n", "bands"), "near-nodes")
+
+    distinct = nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("node"))
+    near = links(distinct)
+    nearest = near.union(near.select("dst", "src")).groupBy("src").agg(F.min("dst").alias("dst"))
+    named = distinct.select(F.col("fp").alias("dst"), F.col("node").alias("other"))
+    across = nearest.join(named, "dst").join(distinct.select(F.col("fp").alias("src"), "node"), "src").select(F.col("node").alias("src"), F.col("other").alias("dst"))
+    within = nodes.select("fp", F.col("node").alias("src")).join(distinct, "fp").where("src <> node").select("src", F.col("node").alias("dst"))
+    texts = rows.select(F.col("__row").alias("node"), F.col(text_col).alias("text"))
+    labels = minhash.completed(texts, nodes, across.union(within), shingle, percent, crowd)
+
+    named = nodes.join(labels, "node", "left").select("id", F.col("node").alias("row"), F.coalesce("label", "node").alias("label"))
+    first = materialize(named.groupBy("label").agg(least).select(F.col("x.row").alias("__row")), "near-first")
+    sweep(df.sparkSession)
     return rows.join(first, "__row", "left_semi").drop("__row")

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from asterism.llm import minhash
+from asterism.llm import simhash
 
 from test_operators import groups_of
 
@@ -64,7 +64,7 @@ def wanted(rows) -> set[int]:
 @pytest.mark.parametrize("crowd", [2, 32])
 def test_keep_first_matches_brute_force(spark, near, crowd):
     docs = spark.createDataFrame(near, "doc_id bigint, text string").repartition(3)
-    got = Counter(x["doc_id"] for x in minhash.keep_first(docs, crowd=crowd).collect())
+    got = Counter(x["doc_id"] for x in simhash.keep_first(docs, crowd=crowd).collect())
     assert got == Counter(wanted(near))
 
 
