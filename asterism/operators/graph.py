@@ -147,7 +147,7 @@ def spread(net: Network, seeds: tuple[str, ...], depth: int = 3, decay: float =
         got = frontier.join(step, "node").groupBy(F.col("other").alias("node")).agg(F.max(F.col("activation") * decay * F.col("step")).alias("activation"))
         gained = got.join(best.select("node", F.col("activation").alias("had")), "node", "left").where("had is null or activation > had").select("node", "activation")
         frontier = stored(gained, f"spread-{hop}")
-        best = stored(best.union(frontier).groupBy("node").agg(F.max("activation").alias("activation")), f"activation-{hop}")
+        best = best.union(frontier).groupBy("node").agg(F.max("activation").alias("activation"))
     return best.groupBy("node").agg(F.max("activation").alias("activation")).where(~F.col("node").isin(*seeds)).select(F.col("node").alias("model_id"), F.round("activation", 6).alias("score"))
 
 

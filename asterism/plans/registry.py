@@ -11,6 +11,7 @@ from . import (
     catalogue_enrich,  # noqa: F401  these register their queries
     catalogue_hub,  # noqa: F401
     catalogue_more,  # noqa: F401
+    catalogue_phases,  # noqa: F401
 )
 
 

@@ -84,10 +84,10 @@ def test_scores_by_hand(net):
     assert {m: r["bank_alignment"] for m, r in got.items()} == pytest.approx({"a": 1.0, "b": 1.0, "c": 0.05, "d": 0.3})
     assert {m: r["anchor_relevance"] for m, r in got.items()} == pytest.approx({"a": 1.0, "b": 0.0, "c": 1.0, "d": 1.0})
     assert {m: r["epa_alignment"] for m, r in got.items()} == pytest.approx({"a": 0.5, "b": 1.0, "c": 1.0, "d": 1.0})
-    # chat (3 of 4) and small (2 of 4) are typical, and b lacks chat; b has the most links, a fewer
+    # chat (3 of 4) and small (2 of 4) are typical, and b lacks chat; a has the highest PageRank, then b
     surprise = math.log(4 / 3) / (math.log(4 / 3) + math.log(2))
-    assert got["b"]["soft_combined"] == pytest.approx(1 + 0.2 * 1.0 + 0.7 * 0.25 * surprise)
-    assert got["a"]["soft_combined"] == pytest.approx(1.0)
+    assert got["b"]["soft_combined"] == pytest.approx(1 + 0.2 * 0.5 + 0.7 * 0.25 * surprise)
+    assert got["a"]["soft_combined"] == pytest.approx(1 + 0.2 * 1.0)
 
 
 def test_seed_similarity(net):
@@ -146,11 +146,12 @@ def test_token_set_ratio():
 
 def test_graph(net):
     assert rows(graph.descendants(net, "a", least_weight=1), "model_id", "depth") == [("b", 1), ("c", 2)]
-    assert rows(graph.inherited(net, least_weight=1), "model_id", "label", "confidence") == [("b", "chat", 0.4), ("c", "code", 0.4), ("c", "small", 0.4)]
+    assert rows(graph.inherited(net, least_weight=1), "model_id", "label", "confidence") == [("b", "chat", 0.8), ("c", "code", 1.0), ("c", "small", 1.0)]
     ranks = {r["model_id"]: r["rank"] for r in graph.pagerank(net).collect()}
     assert sum(ranks.values()) == pytest.approx(1.0, abs=1e-6) and ranks["a"] > ranks["b"] > ranks["c"]
-    near = {r["model_id"]: r["score"] for r in graph.spread(net, ("a",), depth=2).collect()}
+    near = {r["model_id"]: r["score"] for r in graph.spread(net, ("a",), depth=2, labels=False).collect()}
     assert near == pytest.approx({"b": 0.72, "d": 0.56, "c": 0.72 * 0.72})
+    assert {r["model_id"]: r["score"] for r in graph.spread(net, ("c",), depth=1, banks=("CAPABILITY",)).collect()} == pytest.approx({"b": 0.72, "a": 0.8, "d": 0.8})
 
 
 def test_cycles_end(net, spark):
@@ -172,9 +173,9 @@ def test_records(spark):
     lines = spark.createDataFrame([('{"id": "a", "n": 1}',), ("",), ("{broken",), ('{"n": 2}',)], "value string")
     assert [r["status"] for r in records.parse_lines(lines, "id string, n int", "id").collect()] == ["ok", "empty", "error", "skip"]
     now = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
-    new = spark.createDataFrame([(1, "y"), (1, "y"), (2, None), (3, "z")], "k int, v string")
+    new = spark.createDataFrame([(1, "y"), (1, "y"), (1, "b"), (2, None), (3, "z")], "k int, v string")
     assert rows(records.reconcile(now, new, "k", ["v"]), "k", "op") == [(1, "patch"), (2, "unchanged"), (3, "insert")]
-    applied = records.latest_wins(now.withColumn("t", F.lit(0)), new.distinct().withColumn("t", F.lit(1)), ["k"], "t").drop("t")
+    applied = records.latest_wins(now.withColumn("t", F.lit(0)), new.where("v is null or v <> 'b'").distinct().withColumn("t", F.lit(1)), ["k"], "t").drop("t")
     assert {r["op"] for r in records.reconcile(applied, new, "k", ["v"]).collect()} == {"unchanged"}
 
 
