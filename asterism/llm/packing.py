@@ -2,8 +2,7 @@
 
 Each document's ids (its tokens and an end id) are cut into full pieces and one remainder. The histogram of remainder
 lengths, at most one count for each length, is packed on the driver: lengths are placed longest first, each into the
-patterns whose free room is smallest among those it fits (the shortest remaining pack), many sequences of a pattern at
-a time. Patterns are then joined back to the pieces by their rank among pieces of the same length.
+patterns that are shortest so far, which have the most room left, many sequences of a pattern at a time. Patterns are then joined back to the pieces by their rank among pieces of the same length.
 """
 
 from __future__ import annotations
@@ -171,7 +170,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     Every row has at least the end id, so null and empty texts have a piece of one id; repeated rows and null ids are
-    packed as they are; an empty input packs nothing. Pieces are written to the shared folder once. A piece's rank is its
+    packed as they are; an empty input packs nothing. A very long text is tokenized whole in its task and cut into pieces.
+    Only the id and the text are read, so other columns may have any name. Pieces are written to the shared folder once. A piece's rank is its
     place in its partition plus the counts of that length in earlier partitions, so a length that many documents share
     isn't gathered anywhere. To the driver go only the histogram's counts, at most ``capacity``; the placements are
     bounded by the histogram too and broadcast.

@@ -89,7 +89,8 @@ def judge(df: DataFrame, host_col: str = "source", text_col: str = "text", keep:
     """``df``'s columns ``keep`` (all by default) with counts, base_failed, rule_failed and kept.
 
     A document is kept if the base rules pass and its host isn't rejected; one without a host is judged alone.
-    Repeated rows count once each; an empty input gives an empty result. Rated rows are written to the shared folder
+    Repeated rows count once each; an empty input gives an empty result. A null text has no words, so it fails; a very
+    long one is counted whole, as arrays in its task. Kept columns with names of the result's counts are replaced. Rated rows are written to the shared folder
     once, since both the hosts' sums and the result read them. Hosts meet their documents in a join that Spark may split
     when one host is hot.
     """

@@ -142,7 +142,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Fingerprints within 2 bits link; component_id is the smallest non-null id reachable, null only if all are null.
     Rows without words have fingerprint 0 and link like any other; repeated rows and null ids keep their rows. Copies
-    meet as one fingerprint before any join. An empty input gives an empty result.
+    meet as one fingerprint before any join. Very long texts are hashed whole, a block of shingles at a time. Only the id
+    and the text are read, so other columns may have any name. An empty input gives an empty result.
     """
     prints = materialize(fingerprints(df, id_col, text_col), "simhash-fp")
     roots = _roots(prints, crowd)
