@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.fuzzy import token_set_ratio
+from ..functions.text import STOP_WORDS
 from ..network import Network
 from .filters import signed
 
@@ -85,11 +87,24 @@ def compare(net: Network, ids: tuple[str, ...]) -> DataFrame:
 
 
 def fuzzy_scores(net: Network, text: str) -> DataFrame:
-    """Likeness of model names to the words of a text: mean over words of the best field, with a bonus for contained words."""
-    tokens = sorted({t for t in text.lower().split() if len(t) > 1})
-    fields = F.array(F.lower("display_name"), F.lower("author"), F.lower("model_id"))
-    rated = net.models.select("model_id", token_set_ratio(fields, F.lit(" ".join(tokens))).alias("score"))
-    return rated.where("score > 0").select("model_id", F.round("score", 6).alias("score"))
+    """Likeness of models to the words of a text: mean over words of the best field, with a bonus for contained words; each pair of a word and a different field is rated once."""
+    tokens = sorted({t for t in re.findall("[a-z0-9_.-]+", text.lower()) if len(t) > 1 and t not in STOP_WORDS})
+    if not tokens:
+        return net.models.select("model_id", F.lit(0.0).alias("score")).where("false")
+    fields = searchable_strings(net)
+    each = fields.select("field").distinct().withColumn("token", F.explode(F.array(*map(F.lit, tokens))))
+    rated = each.withColumn("score", token_set_ratio(F.array("field"), F.col("token")))
+    best = fields.join(rated, "field").groupBy("model_id", "token").agg(F.max("score").alias("score"))
+    scored = best.groupBy("model_id").agg((F.sum("score") / len(tokens)).alias("score"))
+    return scored.where("score > 0").select("model_id", F.round("score", 6).alias("score"))
+
+
+def searchable_strings(net: Network) -> DataFrame:
+    """(model_id, field): the texts of a model that a search looks at: words of its id, name, author, labels, and its summary's start."""
+    parts = lambda c: F.lower(F.array_join(F.regexp_extract_all(c, F.lit("([a-zA-Z0-9]+)"), 1), " "))
+    named = net.models.select("model_id", F.explode(F.array(parts(F.col("model_id")), F.lower("display_name"), F.lower("author"))).alias("field"))
+    summary = net.metadata.where("key = 'vibe_summary'").select("model_id", F.lower(F.substring("value", 1, 500)).alias("field"))
+    return named.union(summary).where("field <> ''").distinct()
 
 
 def banks_of(net: Network, model_id: str) -> DataFrame:

@@ -322,15 +322,23 @@ def _(net: Network) -> DataFrame:
     return search.compare(net, ("p1", "p2", "p3"))
 
 
-@plan("search_combined", """SELECT model_id, round(bank_score, 6) AS bank_score, round(anchor_score, 6) AS anchor_score, round(0.3 * bank_score + 0.35 * anchor_score, 6) AS score FROM (SELECT m.model_id,
-(CASE WHEN coalesce(e.v, 0) BETWEEN -2 AND 0 THEN 1.0 ELSE 1.0 / (1.0 + least(abs(coalesce(e.v, 0) + 2), abs(coalesce(e.v, 0)))) END + CASE WHEN coalesce(q.v, 0) > 0 THEN 1.0 ELSE 1.0 / (1.0 + abs(coalesce(q.v, 0) - 1)) END) / 2 AS bank_score, coalesce(c.similarity, 0) AS anchor_score
-FROM models m LEFT JOIN (SELECT model_id, path_sign * path_depth AS v FROM positions WHERE bank = 'EFFICIENCY') e USING (model_id) LEFT JOIN (SELECT model_id, path_sign * path_depth AS v FROM positions WHERE bank = 'QUALITY') q USING (model_id)
-LEFT JOIN (SELECT model_id, sum(CASE WHEN label IN ('red', 'PROMO') THEN confidence ELSE 0 END) / (sum(confidence) + 2 - sum((label IN ('red', 'PROMO'))::INT)) AS similarity FROM model_anchors GROUP BY model_id) c USING (model_id)) ORDER BY score DESC, model_id LIMIT 20""")
+_NEAR = """near AS (SELECT node, other, CASE relation WHEN 'fine_tuned_from' THEN 0.9 ELSE 0.7 END AS step FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY way, k, other) AS r FROM (
+SELECT node, other, way, k, relation, row_number() OVER (PARTITION BY node, other ORDER BY way, k) AS once FROM (SELECT *, row_number() OVER (PARTITION BY node, way ORDER BY weight DESC, other, relation) AS k FROM (SELECT source_id AS node, target_id AS other, relation, weight, 0 AS way FROM links UNION ALL SELECT target_id, source_id, relation, weight, 1 FROM links)) WHERE k <= 20) WHERE once = 1) WHERE r <= 20)"""
+
+
+@plan("search_combined")
 def _(net: Network) -> DataFrame:
-    found = search.combined(net, {"EFFICIENCY": (-2, 0, None), "QUALITY": (None, None, 1)}, ("red", "PROMO"))
+    near = graph.spread(net, ("p3",), depth=1, labels=False)
+    found = search.combined(net, {"EFFICIENCY": (-2, 0, None), "QUALITY": (None, None, 1)}, ("red", "PROMO"), spread=near)
     return found.select("model_id", F.round("bank_score", 6).alias("bank_score"), F.round("anchor_score", 6).alias("anchor_score"), "score")
 
 
+ORACLES["search_combined"] = on_network("""SELECT model_id, round(bank_score, 6) AS bank_score, round(anchor_score, 6) AS anchor_score, round(0.3 * bank_score + 0.35 * anchor_score + 0.15::DOUBLE * spread_score, 6) AS score FROM (SELECT m.model_id,
+(CASE WHEN coalesce(e.v, 0) BETWEEN -2 AND 0 THEN 1.0 ELSE 1.0 / (1.0 + least(abs(coalesce(e.v, 0) + 2), abs(coalesce(e.v, 0)))) END + CASE WHEN coalesce(q.v, 0) > 0 THEN 1.0 ELSE 1.0 / (1.0 + abs(coalesce(q.v, 0) - 1)) END) / 2 AS bank_score, coalesce(c.similarity, 0) AS anchor_score, coalesce(0.8::DOUBLE * near.step, 0) AS spread_score
+FROM models m LEFT JOIN near ON near.node = 'p3' AND near.other = m.model_id LEFT JOIN (SELECT model_id, path_sign * path_depth AS v FROM positions WHERE bank = 'EFFICIENCY') e USING (model_id) LEFT JOIN (SELECT model_id, path_sign * path_depth AS v FROM positions WHERE bank = 'QUALITY') q USING (model_id)
+LEFT JOIN (SELECT model_id, sum(CASE WHEN label IN ('red', 'PROMO') THEN confidence ELSE 0 END) / (sum(confidence) + 2 - sum((label IN ('red', 'PROMO'))::INT)) AS similarity FROM model_anchors GROUP BY model_id) c USING (model_id)) ORDER BY score DESC, model_id LIMIT 20""", _NEAR)
+
+
 @plan("fuzzy_scores")
 def _(net: Network) -> DataFrame:
     return search.fuzzy_scores(net, "red widgets")
@@ -400,10 +408,6 @@ def _(net: Network) -> DataFrame:
     return graph.fingerprint_links(net)
 
 
-_NEAR = """near AS (SELECT node, other, CASE relation WHEN 'fine_tuned_from' THEN 0.9 ELSE 0.7 END AS step FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY way, k, other) AS r FROM (
-SELECT node, other, way, k, relation, row_number() OVER (PARTITION BY node, other ORDER BY way, k) AS once FROM (SELECT *, row_number() OVER (PARTITION BY node, way ORDER BY weight DESC, other, relation) AS k FROM (SELECT source_id AS node, target_id AS other, relation, weight, 0 AS way FROM links UNION ALL SELECT target_id, source_id, relation, weight, 1 FROM links)) WHERE k <= 20) WHERE once = 1) WHERE r <= 20)"""
-
-
 @plan("spread_links")
 def _(net: Network) -> DataFrame:
     return graph.spread(net, ("p3", "p9"), depth=2, labels=False)

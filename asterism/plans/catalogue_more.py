@@ -146,3 +146,10 @@ def _(net: Network) -> DataFrame:
 @plan("anchor_use_by_bank", "SELECT bank, count(*) AS labels, sum(n)::BIGINT AS uses, max(n) AS top FROM (SELECT a.bank, a.anchor_id, count(m.model_id) AS n FROM anchors a LEFT JOIN model_anchors m USING (anchor_id) GROUP BY ALL) GROUP BY bank")
 def _(net: Network) -> DataFrame:
     return stats.anchor_counts(net).groupBy("bank").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("uses"), F.max("n").alias("top"))
+
+
+@plan("search_text")
+def _(net: Network) -> DataFrame:
+    from ..atlas import Atlas
+
+    return Atlas(net).search("small popular red widgets like p7")

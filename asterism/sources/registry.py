@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +31,11 @@ def federated(spark: SparkSession, wanted: list[str], limit: int, min_likes: int
     found, errors = [], {}
     for name in wanted:
         try:
-            found.append(_SOURCES[name](spark).withColumn("source", F.lit(name)))
+            rows = _SOURCES[name](spark).withColumn("source", F.lit(name)).where(F.col("likes") >= min_likes).orderBy(F.desc("likes"), "model_id").limit(limit).collect()
+            found += [r.asDict() for r in rows]  # no source gives more than ``limit``; one that fails while it is read fails here
         except KeyError:
             errors[name] = "unknown source"
         except Exception as e:  # a source that fails must not take the others with it
             errors[name] = str(e).splitlines()[0]
-    empty = spark.createDataFrame([], RAW)
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found, empty)
-    return rows.where(F.col("likes") >= min_likes).orderBy(F.desc("likes"), "model_id").limit(limit), errors
+    rows = spark.createDataFrame([tuple(r.get(c) for c in spark.createDataFrame([], RAW).columns) for r in found], RAW)
+    return rows.orderBy(F.desc("likes"), "model_id").limit(limit), errors

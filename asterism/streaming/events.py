@@ -34,7 +34,22 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "2 hours") -> Dat
 
 
 def replay(spark: SparkSession, folder: str, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Feed change records, a JSON line each, to ``apply`` in batches; a line is taken once however often it comes."""
-    lines = spark.readStream.text(folder)
-    once = lines.withColumn("line", F.sha2("value", 256)).dropDuplicates(["line"])
-    return once.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Feed change records, a JSON line each, to ``apply`` in batches; a line is taken once however often it comes.
+
+    Hashes of lines that were taken are a table beside the checkpoint, which each batch is held against, so the stream
+    keeps no state that grows. They are written after ``apply``, by batch: a batch that is run again finds its own gone.
+    """
+    ledger = f"{checkpoint.rstrip('/')}/lines"
+    schema = "line string, batch bigint"
+
+    def fresh(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        at = session.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+        once = batch.withColumn("line", F.sha2("value", 256)).dropDuplicates(["line"])
+        if at.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            taken = session.read.schema(schema).parquet(ledger).where(F.col("batch") != number)
+            once = once.join(taken.select("line"), "line", "left_anti")
+        apply(once.select("value", "line"), number)
+        once.select("line").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+
+    return spark.readStream.text(folder).writeStream.foreachBatch(fresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
