@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _FAR = 1 << 60
 #: A worker remembers at most twice this many different words of at most so many characters.
-MEMORY, WORD = 250_000, 48
+MEMORY, WORD = 600_000, 48
 
 
 @dataclass
@@ -102,6 +102,7 @@ class Codec(dict):
         for piece in t.rank:
             self.automaton.add_word(piece, len(piece) - 1)
         self.automaton.make_automaton()
+        self.signs = frozenset(p for p in t.rank if len(p) == 1)
         self.raw = [b"" if i in t.special and i != t.unknown else p.replace(MARK, " ").encode() for i, p in enumerate(t.pieces)]
         self.raw[t.unknown] = " ⁇ ".encode()
         self.of_byte = {i: b for b, i in enumerate(t.byte_ids)}
@@ -133,10 +134,12 @@ class Codec(dict):
         n, ends = len(text), [0] * len(text)
         for last, back in self.automaton.iter(text):  # in order of their ends: the longest from a place comes last
             ends[last - back] = last + 1
-        prefix, apart, at, out, failed = self.t.prefix, self.apart, 0, [], bytearray((n >> 3) + 1)
-        piece: str | None = text[: ends[0]]
+        ids, to = self.t.ids, ends[0]
+        if to == n and (not self.t.runs or text.count(MARK) < 2):
+            return [ids[text]]  # a piece of its own
+        prefix, apart, at, out, failed, before = self.t.prefix, self.apart, 0, [], bytearray((n >> 3) + 1), None
+        piece: str | None = text[:to]
         while at < n:
-            before = out[-1] if out else None
             while piece is not None:
                 to = at + len(piece)
                 if not failed[to >> 3] >> (to & 7) & 1:
@@ -145,14 +148,14 @@ class Codec(dict):
                 piece = prefix[piece]
             if piece is not None:
                 out.append(piece)
-                at += len(piece)
+                at, before = to, piece
                 if at < n:
                     piece = text[at : ends[at]]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
-        ids = self.t.ids
+                before = out[-1] if out else None
         return [ids[p] for p in (self._joined(out) if self.t.runs and text.count(MARK) > 1 else out)]
 
     def _joined(self, pieces: list[str]) -> list[str]:
@@ -178,7 +181,7 @@ class Codec(dict):
     def _any(self, text: str) -> tuple[int, ...]:
         """Ids of any text; a character that is no piece becomes its UTF-8 bytes and joins nothing."""
         rank, out, start = self.t.rank, [], 0
-        if rank.keys() >= set(text):
+        if self.signs.issuperset(text):
             return tuple(self._known(text))
         for k, c in enumerate(text):
             if c not in rank:
@@ -264,7 +267,8 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
     """Per row: id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` also ids array<int> and decoded string.
 
     Rows stay where they are: no shuffle. The model is read on the driver and its tables, bounded by the vocabulary, are
-    broadcast. Null ids, repeated rows and empty inputs need no care; a null text is an empty one.
+    broadcast. Null ids, repeated rows and empty inputs need no care; a null text is an empty one. A very long text is
+    encoded whole in its task. Only the id and the text are read, so other columns may have any name.
     """
     with open(model_path, "rb") as f:
         known = df.sparkSession.sparkContext.broadcast(tables(f.read()))
