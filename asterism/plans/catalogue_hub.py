@@ -227,7 +227,7 @@ def _(net: Network) -> DataFrame:
 
 @plan("hub_verdicts")
 def _(net: Network) -> DataFrame:
-    return certify.verdicts_of(hub_rules.fired(hub_records(net)), _emissions(net))
+    return hub_rules.verdicts(hub_records(net))
 
 
 @plan("flagged_models")

@@ -249,3 +249,22 @@ def test_vocabulary(spark, net):
     grown = vocabulary.anchors(spark, net.anchors)
     assert grown.count() == net.anchors.count() + 141 - 1 and grown.where("label = 'chat'").count() == 1
     assert vocabulary.migrated(net.anchors, {"parent_id": "string", "label": "string"}).columns == [*net.anchors.columns, "parent_id"]
+
+
+@pytest.mark.parametrize("query", ["hub_verdicts"])
+def test_hub_verdicts_join_nothing(spark, sf_dir, query):
+    """No table of labels is broadcast on a guess of its size, and extraction isn't repeated in filters."""
+    plan = registry.queries()[query](spark, sf_dir)._jdf.queryExecution()
+    assert "Join" not in plan.executedPlan().toString() and len(plan.optimizedPlan().toString()) < 60_000
+
+
+def test_verdicts_by_model(spark):
+    """As the joins: for records that share an id, labels that are emitted twice, trusted ones, rules of each tier and ids that are null."""
+    rules = (certify.Rule("r0", 1, lambda: F.lit(True), ("p", "a"), ("b", "c")), certify.Rule("r1", 2, lambda: F.lit(True), ("q",), ("c", "d")), certify.Rule("r2", 3, lambda: F.lit(True), (), ("d", "e")))
+    fired = spark.createDataFrame([("m", [0]), ("m", [1, 0]), ("n", [1, 2]), ("o", []), (None, [0, 1]), (None, [0])], "model_id string, fired array<int>")
+    said = [("m", "a", 0.5, False), ("m", "b", 0.5, False), ("m", "b", 0.5, False), ("m", "c", 0.4, True), ("n", "d", 0.8, False), ("n", "e", 0.9, False), ("o", "b", 0.3, False), (None, "b", 0.7, False), (None, "p", 0.7, False), ("x", "b", 0.2, False), ("n", "b", None, False)]
+    emissions = spark.createDataFrame(said, "model_id string, label string, confidence double, trusted boolean")
+    emitted = emissions.select("model_id", F.array(F.struct("label", "confidence", "trusted")).alias("labels"))
+    on = spark.createDataFrame([(m, rules[k].tier, list(rules[k].requires), list(rules[k].forbids)) for m, ks in fired.collect() for k in ks], "model_id string, tier int, requires array<string>, forbids array<string>")
+    want, got = (sorted(map(tuple, df.collect()), key=repr) for df in (certify.verdicts_of(on, emissions), certify.verdicts_by_model(fired, emitted, rules)))
+    assert got == want and ("m", "b", "REJECTED", 0.5) in got and ("n", "d", "DEMOTED", 0.4) in got
