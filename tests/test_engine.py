@@ -268,3 +268,37 @@ def test_verdicts_by_model(spark):
     on = spark.createDataFrame([(m, rules[k].tier, list(rules[k].requires), list(rules[k].forbids)) for m, ks in fired.collect() for k in ks], "model_id string, tier int, requires array<string>, forbids array<string>")
     want, got = (sorted(map(tuple, df.collect()), key=repr) for df in (certify.verdicts_of(on, emissions), certify.verdicts_by_model(fired, emitted, rules)))
     assert got == want and ("m", "b", "REJECTED", 0.5) in got and ("n", "d", "DEMOTED", 0.4) in got
+
+
+def test_co_labelled_counts_lists_of_labels(spark, net):
+    """The same as over all pairs of models, with ties, repeated labels and more models of a kind than are kept; rows grow with the kinds, not with the models."""
+    import random
+
+    pick = random.Random(7)
+    kinds = [sorted(pick.sample("abcdefg", pick.randint(1, 5))) + ["a"] * (k % 3 == 0) for k in range(12)]
+    held = [(f"m{k:03}", x) for k in range(300) for x in kinds[pick.randrange(12) if k % 2 else 0]]
+    bridge = spark.createDataFrame([(m, x, x, "B", 1.0) for m, x in held], "model_id string, anchor_id string, label string, bank string, confidence double")
+    found = Network(net.models, net.positions, net.anchors, bridge, net.links, net.metadata, net.facts)
+    asked = ["m000", "m001", "m002", "m151", "m299", "nobody"]
+    of = {}
+    for m, x in held:
+        of.setdefault(m, []).append(x)
+    want = []
+    for node in asked[:5]:
+        counts = {m: sum(of[node].count(x) * xs.count(x) for x in set(xs)) for m, xs in of.items() if m != node}
+        want += [(node, m, n / len(of[node])) for m, n in sorted(((m, n) for m, n in counts.items() if n), key=lambda x: (-x[1], x[0]))[:15]]
+    nodes = spark.createDataFrame([(m,) for m in asked], "node string")
+    assert rows(graph.co_labelled(found, nodes), "node", "other", "step") == sorted(want)
+    assert graph.label_kinds(found).count() == len({tuple(sorted(x)) for x in of.values()})
+
+
+@given(st.text("abc 1", max_size=90), st.text("abc 1", max_size=90))
+def test_ratio_counts_the_longest_common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for k, y in enumerate(b):
+            held = row[k + 1]
+            row[k + 1] = last + 1 if x == y else max(held, row[k])
+            last = held
+    assert fuzzy.ratio(a, b) == (2 * row[-1] / (len(a) + len(b)) if a or b else 1.0)
