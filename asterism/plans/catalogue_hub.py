@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..network import Network
-from ..operators import certify, hub, hub_rules
+from ..operators import hub, hub_rules
 from .catalogue import ORACLES, plan
 from .prelude import on_network
 
@@ -215,11 +215,6 @@ UNION ALL SELECT DISTINCT model_id, label, 'AUTO_ADDED', 1.0 FROM (SELECT model_
 )
 
 
-def _emissions(net: Network) -> DataFrame:
-    labels = hub.tier_two(hub_records(net)).select("model_id", F.explode("labels").alias("x"))
-    return labels.select("model_id", "x.label", "x.confidence", F.lit(False).alias("trusted"))
-
-
 @plan("hub_rules_fired")
 def _(net: Network) -> DataFrame:
     return hub_rules.fired(hub_records(net)).select("model_id", "rule", "tier")
@@ -232,7 +227,7 @@ def _(net: Network) -> DataFrame:
 
 @plan("flagged_models")
 def _(net: Network) -> DataFrame:
-    return hub_rules.flagged(certify.verdicts_of(hub_rules.fired(hub_records(net)), _emissions(net)))
+    return hub_rules.flagged(hub_rules.verdicts(hub_records(net)))
 
 
 ORACLES["hub_rules_fired"] = on_network("SELECT model_id, rule, tier FROM hf", HUB, _JUDGED[0])

@@ -251,7 +251,7 @@ def test_vocabulary(spark, net):
     assert vocabulary.migrated(net.anchors, {"parent_id": "string", "label": "string"}).columns == [*net.anchors.columns, "parent_id"]
 
 
-@pytest.mark.parametrize("query", ["hub_verdicts"])
+@pytest.mark.parametrize("query", ["hub_verdicts", "flagged_models"])
 def test_hub_verdicts_join_nothing(spark, sf_dir, query):
     """No table of labels is broadcast on a guess of its size, and extraction isn't repeated in filters."""
     plan = registry.queries()[query](spark, sf_dir)._jdf.queryExecution()
