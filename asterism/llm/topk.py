@@ -3,9 +3,10 @@
 Vectors of integers are lifted by one coordinate so that a larger inner product with a query means a smaller Euclidean
 distance. Distances of all vectors to many pivots, which lie far apart, are computed once and stored with the vectors; by
 the triangle inequality the largest difference between a query's and a candidate's pivot distances bounds their distance
-from below. Each query takes candidates in the order of their bounds and stops for good when no later bound can reach its
+from below. The table is kept by tiles of candidates at like distances: a tile whose bound can't reach a query's
 k-th best score, of those that it has seen or of a sample of candidates that every block of queries is compared with
-first. Vectors meet in blocks of bounded size: each block of queries with each block of candidates.
+first, is passed over; the queries that are left are multiplied with the tile as matrices, which is exact on integers.
+Vectors meet in blocks of bounded size: each block of queries with each block of candidates.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ PIVOTS = 48
 SAMPLE = 4096
 #: Vectors in a block of queries and of candidates, at most.
 QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 8192
-#: Candidates evaluated between two looks at the stopping rule.
-STEP = 256
+#: Candidates that are passed over or evaluated together, and queries that are so at once.
+TILE, SLICE = 256, 512
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -39,6 +40,11 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = SC
     return slim.where(ok).select("id", F.transform("x", lambda c: F.floor(scale * c).cast("bigint")).alias("v"))
 
 
+def kind_of(radius2: float) -> type:
+    """The fastest type that holds every sum of products of such vectors exactly: by Cauchy and Schwarz none is over ``radius2``."""
+    return np.float32 if radius2 <= 2.0**24 else np.float64 if radius2 < 2.0**53 else np.int64
+
+
 def far_apart(vectors: np.ndarray, count: int) -> np.ndarray:
     """Places of up to ``count`` vectors, each the one farthest from those before it; equal vectors are taken once."""
     if not len(vectors):
@@ -65,21 +71,50 @@ def thresholds(sample: np.ndarray, sample_rows: np.ndarray, query_rows: np.ndarr
     """For each query a score that k vectors reach: its k-th best of the sample, its own row left out."""
     out = np.full(len(query_rows), -np.inf)
     if len(sample) > k:
-        for at in range(0, len(queries), STEP):
-            scores = (queries[at : at + STEP] @ sample.T).astype(np.float64)
-            scores[query_rows[at : at + STEP, None] == sample_rows[None, :]] = -np.inf
-            out[at : at + STEP] = np.partition(scores, -k, axis=1)[:, -k]
+        for at in range(0, len(queries), SLICE):
+            scores = (queries[at : at + SLICE] @ sample.T).astype(np.float64)
+            scores[query_rows[at : at + SLICE, None] == sample_rows[None, :]] = -np.inf
+            out[at : at + SLICE] = np.partition(scores, -k, axis=1)[:, -k]
     return out
 
 
-def search(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, table: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, pivots: np.ndarray, radius2: float, floors: np.ndarray | None = None, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """For each query, by its place: places and scores of its candidates of this block that may be among its k best, and how many were evaluated.
+def cut(table: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places of all rows in parts of at most ``size``: those with the same nearest pivot, halved at the median of the column that varies most."""
+    cell = table.argmin(axis=1)
+    order = np.argsort(cell, kind="stable")
+    out, left = [], np.split(order, np.flatnonzero(np.diff(cell[order])) + 1)
+    while left:
+        part = left.pop()
+        if len(part) <= size:
+            out.append(part)
+        else:
+            here = table[part]
+            halves = np.argpartition(here[:, here.var(axis=0).argmax()], len(part) // 2)
+            left += [part[halves[: len(part) // 2]], part[halves[len(part) // 2 :]]]
+    return out
+
+
+def k_best(places: np.ndarray, ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, floors: np.ndarray, k: int) -> np.ndarray:
+    """Where each query's k best found rows stand, best first by query, ties to smaller ids, then rows; raises ``floors`` of queries that have k."""
+    order = np.lexsort((rows, ids, -scores, places))
+    of = places[order]
+    firsts = np.flatnonzero(np.diff(of, prepend=-1))
+    rank = np.arange(len(of)) - np.repeat(firsts, np.diff(firsts, append=len(of)))
+    last = order[rank == k - 1]
+    floors[places[last]] = np.maximum(floors[places[last]], scores[last])
+    return order[rank < k]
+
+
+def search(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, table: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, pivots: np.ndarray, radius2: float, floors: np.ndarray | None = None, k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each slice of queries: places of queries and of their candidates of this block that may be among their k best, the scores, how many were evaluated for that query, and how many for the slice.
 
-    Vectors are integers, float64 where ``radius2``, which is at least every squared norm, is below 2**53 and int64 above;
-    so their products are exact. ``table`` has the candidates' distances to the pivots, ``floors`` scores that k rows are
-    known to reach; what is below isn't among the best of all and is left out. A query passes over the candidate that is its own row, ties go to smaller ids, then rows. Distances
-    get a slack that covers their rounding, so a candidate is only passed over if its exact score is below the k-th best,
-    never if it ties.
+    Vectors are integers of a ``kind_of`` type for ``radius2``, which is at least every squared norm, so their products are
+    exact. ``table`` has the candidates' distances to the pivots, ``floors`` scores that k rows are known to reach, which are
+    raised in place; what is below isn't among the best of all and is left out. A query passes over the candidate that is
+    its own row, ties go to smaller ids, then rows. Candidates of like distances share a tile, of which the least and
+    largest distance to each pivot are known: where a query's distance lies outside, the gap bounds the scores of the
+    whole tile. Queries that a tile may serve are multiplied with it at once. Distances get a slack that covers their rounding,
+    so a candidate is only passed over if its exact score is below the k-th best, never if it ties.
     """
     real = queries.astype(np.float64)
     norms = np.einsum("ij,ij->i", real, real)
@@ -87,28 +122,46 @@ def search(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, table: np.nda
     asked = np.sqrt(np.maximum(norms[:, None] + radius2 - 2.0 * (real @ pivots.T), 0.0))
     slack = 1e-6 * np.sqrt(4.0 * radius2 + norms.max(initial=0.0)) + 1e-3  # over the error of two square roots near zero
     rounding = 1e-3 + 1e-12 * radius2
-    table = np.ascontiguousarray(table.T)
     floors = np.full(len(query_rows), -np.inf) if floors is None else floors
-    for q in range(len(query_rows)):
-        bound = np.zeros(len(rows))
-        for j in range(len(table)):
-            np.maximum(bound, np.abs(table[j] - asked[q, j]), out=bound)
-        low = np.maximum(bound - slack, 0.0)
-        best = np.floor((norms[q] + radius2 - low * low) / 2.0 + rounding)  # no score is above
-        order, done, step = np.argsort(-best, kind="stable"), 0, STEP
-        scores, found = np.empty(0, dtype=vectors.dtype), np.empty(0, dtype=np.int64)
-        while done < len(order):
-            if best[order[done]] < max(floors[q], scores[k - 1] if len(scores) >= k else -np.inf):
-                break
-            take = order[done : done + step]
-            done, step = done + len(take), 2 * step
-            take = take[rows[take] != query_rows[q]]
-            scores = np.concatenate([scores, vectors[take] @ queries[q]])
-            found = np.concatenate([found, take])
-            rank = np.lexsort((rows[found], ids[found], -scores))[:k]
-            scores, found = scores[rank], found[rank]
-        reached = scores >= floors[q]
-        yield q, found[reached], scores[reached].astype(np.int64), done
+    tiles = cut(table, TILE)
+    tile_vectors = [vectors[tile] for tile in tiles]
+    lows, highs = (np.array([side(table[tile], axis=0) for tile in tiles], dtype=np.float64) for side in (np.min, np.max))
+    alike = np.concatenate(cut(asked, SLICE))
+    for at in range(0, len(queries), SLICE):
+        own = alike[at : at + SLICE]
+        asks, limits, done = queries[own], floors[own], np.zeros(len(own), dtype=np.int64)
+        gap = np.zeros((len(own), len(tiles)))
+        for j in range(asked.shape[1]):
+            here = asked[own, j, None]
+            np.maximum(gap, lows[:, j] - here, out=gap)
+            np.maximum(gap, here - highs[:, j], out=gap)
+        best = np.floor((norms[own, None] + radius2 - np.maximum(gap - slack, 0.0) ** 2) / 2.0 + rounding)  # no score is above
+        kept = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=vectors.dtype))
+        parts, pending = [kept], 0
+
+        def settled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            places, found, scores = (np.concatenate(x) for x in zip(*parts))
+            take = k_best(places, ids[found], rows[found], scores, limits, k)
+            return places[take], found[take], scores[take]
+
+        for t in np.argsort(-best.max(axis=0), kind="stable"):
+            alive = np.flatnonzero(best[:, t] >= limits)
+            if not len(alive):
+                continue
+            tile = tiles[t]
+            scores = (asks if len(alive) == len(own) else asks[alive]) @ tile_vectors[t].T
+            done[alive] += len(tile)
+            reached = limits[alive, None]
+            hits = np.flatnonzero(scores >= (reached.astype(scores.dtype) if scores.dtype.kind == "f" else reached))
+            places, found = alive[hits // len(tile)], tile[hits % len(tile)]
+            other = rows[found] != query_rows[own[places]]
+            parts.append((places[other], found[other], scores.ravel()[hits[other]]))
+            pending += len(hits)
+            if pending >= k * len(own):
+                parts, pending = [settled()], 0
+        places, found, scores = settled()
+        floors[own] = limits
+        yield own[places], found, scores.astype(np.int64), done[places], int(done.sum())
 
 
 def _blocks(vectors: DataFrame, size: int, n: int, name: str) -> DataFrame:
@@ -138,7 +191,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         return spark.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score bigint, evaluated bigint")
     if radius2 >= 2.0**62:
         raise ValueError("the largest inner product may not fit a long; use a smaller scale")
-    kind = np.float64 if radius2 < 2.0**53 else np.int64
+    kind = kind_of(radius2)
+    stored = {np.float32: "float", np.float64: "double", np.int64: "bigint"}[kind]
     even = vectors.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("bigint"), F.lit(width) - F.size("v"))))
     drawn = even.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("row", "v").collect()
     sample = np.array([r["v"] for r in drawn], dtype=np.int64).reshape(len(drawn), width)
@@ -150,34 +204,41 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         for batch in batches:
             flat = pc.list_flatten(batch.column(2)).to_numpy(zero_copy_only=False).reshape(batch.num_rows, width).astype(np.float64)
             far = pivot_table(flat, table, r2)
-            made = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * len(table), pa.array(far.ravel()))
+            made = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * len(table), pa.array(far.ravel().astype(np.float32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=["id", "row", "v", "d"])
 
-    far = materialize(even.select("id", "row", "v").mapInArrow(measure, "id bigint, row bigint, v array<bigint>, d array<double>"), "pivot-table")
+    far = materialize(even.select("id", "row", F.col("v").cast(f"array<{stored}>")).mapInArrow(measure, f"id bigint, row bigint, v array<{stored}>, d array<float>"), "pivot-table")
     n_query_blocks = -(-n_asks // QUERY_BLOCK)
     # small tables are cut finer, so that every core has pairs
     candidate_block = max(1, min(CANDIDATE_BLOCK, -(-n * n_query_blocks // (2 * partitions(spark)))))
-    q, c = _blocks(far.where(asked).withColumn("d", F.array().cast("array<double>")), QUERY_BLOCK, n_asks, "q"), _blocks(far, candidate_block, n, "c")
+    q, c = _blocks(far.where(asked).withColumn("d", F.array().cast("array<float>")), QUERY_BLOCK, n_asks, "q"), _blocks(far, candidate_block, n, "c")
     every = lambda of, size: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-of // size)) - 1)))
     # dealt by the pair into a number of tasks that stays, since a pair is much work for few bytes
     sent, asks = (x.repartition(partitions(spark), "q", "c") for x in (c.withColumn("q", every(n_asks, QUERY_BLOCK)), q.drop("q_table").withColumn("c", every(n, candidate_block))))
-    names = ["q_ids", "q_rows", "q_flat", "c_ids", "c_rows", "c_flat", "c_table"]
+    names = ["q", "q_ids", "q_rows", "q_flat", "c_ids", "c_rows", "c_flat", "c_table"]
     schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("score", pa.int64()), ("evaluated", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, r2, known, known_rows = base.value
+        now, floors, held = None, np.empty(0), []
+        # a task's pairs come in the order of their block of queries, which keeps its best rows from one pair to the next
         for batch in batches:
             for at in range(batch.num_rows):
-                x = {name: batch.column(name)[at].values.to_numpy(zero_copy_only=False) for name in names}
-                cv = x["c_flat"].reshape(len(x["c_ids"]), width).astype(kind)
-                qv = x["q_flat"].reshape(len(x["q_ids"]), width).astype(kind)
-                floors = thresholds(known, known_rows, x["q_rows"], qv, k)
-                rows: list[list[np.ndarray]] = [[] for _ in schema]
-                for place, found, scores, done in search(x["c_ids"], x["c_rows"], cv, x["c_table"].reshape(len(cv), -1), x["q_rows"], qv, pivots, r2, floors, k):
-                    same = np.ones(len(found), dtype=np.int64)
-                    for column, y in zip(rows, (same * x["q_rows"][place], same * x["q_ids"][place], x["c_ids"][found], x["c_rows"][found], scores, same * done)):
-                        column.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y).astype(np.int64)) for y in rows], schema=schema)
+                x = {name: batch.column(name)[at].values.to_numpy(zero_copy_only=False) for name in names[1:]}
+                cv = x["c_flat"].reshape(len(x["c_ids"]), width)
+                qv = x["q_flat"].reshape(len(x["q_ids"]), width)
+                if batch.column("q")[at].as_py() != now:
+                    if held:
+                        yield pa.RecordBatch.from_arrays([pa.array(y) for y in held[1:]], schema=schema)
+                    now, floors, held = batch.column("q")[at].as_py(), thresholds(known, known_rows, x["q_rows"], qv, k), []
+                parts = [held] if held else []
+                for places, found, scores, done, _ in search(x["c_ids"], x["c_rows"], cv, x["c_table"].reshape(len(cv), -1), x["q_rows"], qv, pivots, r2, floors, k):
+                    parts.append([places, x["q_rows"][places], x["q_ids"][places], x["c_ids"][found], x["c_rows"][found], scores, done])
+                held = [np.concatenate(y) for y in zip(*parts)]
+                best = k_best(held[0], held[3], held[4], held[5], floors, k)
+                held = [y[best] for y in held]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(y) for y in held[1:]], schema=schema)
 
     found = sent.join(asks, ["q", "c"]).select(*names).mapInArrow(run, "query_row bigint, query_id bigint, id bigint, row bigint, score bigint, evaluated bigint")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row")
