@@ -27,8 +27,8 @@ EVERY = 20
 PIVOTS = 48
 #: Vectors that pivots are chosen from and that give the first thresholds: a bound of what the driver holds.
 SAMPLE = 4096
-#: Vectors in a block of queries and of candidates, at most.
-QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 8192
+#: Vectors in a block of queries and of candidates, at most, and numbers in either: a pair of blocks is what a task holds.
+QUERY_BLOCK, CANDIDATE_BLOCK, NUMBERS = 65536, 32768, 1 << 22
 #: Candidates that are passed over or evaluated together, and queries that are so at once.
 TILE, SLICE = 256, 512
 
@@ -208,13 +208,14 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=["id", "row", "v", "d"])
 
     far = materialize(even.select("id", "row", F.col("v").cast(f"array<{stored}>")).mapInArrow(measure, f"id bigint, row bigint, v array<{stored}>, d array<float>"), "pivot-table")
-    n_query_blocks = -(-n_asks // QUERY_BLOCK)
+    query_block = max(1, min(QUERY_BLOCK, NUMBERS // max(1, width)))
+    n_query_blocks = -(-n_asks // query_block)
     # small tables are cut finer, so that every core has pairs
-    candidate_block = max(1, min(CANDIDATE_BLOCK, -(-n * n_query_blocks // (2 * partitions(spark)))))
-    q, c = _blocks(far.where(asked).withColumn("d", F.array().cast("array<float>")), QUERY_BLOCK, n_asks, "q"), _blocks(far, candidate_block, n, "c")
+    candidate_block = max(1, min(CANDIDATE_BLOCK, NUMBERS // (width + len(chosen)), -(-n * n_query_blocks // (2 * partitions(spark)))))
+    q, c = _blocks(far.where(asked).withColumn("d", F.array().cast("array<float>")), query_block, n_asks, "q"), _blocks(far, candidate_block, n, "c")
     every = lambda of, size: F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-of // size)) - 1)))
     # dealt by the pair into a number of tasks that stays, since a pair is much work for few bytes
-    sent, asks = (x.repartition(partitions(spark), "q", "c") for x in (c.withColumn("q", every(n_asks, QUERY_BLOCK)), q.drop("q_table").withColumn("c", every(n, candidate_block))))
+    sent, asks = (x.repartition(partitions(spark), "q", "c") for x in (c.withColumn("q", every(n_asks, query_block)), q.drop("q_table").withColumn("c", every(n, candidate_block))))
     names = ["q", "q_ids", "q_rows", "q_flat", "c_ids", "c_rows", "c_flat", "c_table"]
     schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("score", pa.int64()), ("evaluated", pa.int64())])
 
